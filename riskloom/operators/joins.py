@@ -9,10 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import field
+from riskloom.operators.skew import HOT_ROWS
 
-# A key is hot above this many rows. At most (all rows / HOT_ROWS) keys can be hot, which bounds
-# every table of hot keys: a million rows at 10^12 input rows.
-HOT_ROWS = 1_000_000
 # Rows of a hot or missing key are spread over this many slots when they must be shuffled.
 SPREAD_SLOTS = 512
 

@@ -13,15 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import field
-from riskloom.operators.joins import HOT_ROWS
-from riskloom.operators.recipe import not_null_keys
-from riskloom.session import materialise, stage_path
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows; at most (all rows / hot_rows) of them."""
-    counts = not_null_keys(df, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return materialise(counts.where(F.col("_n") > hot_rows).select(*keys))
+from riskloom.operators.skew import HOT_ROWS, by_key
+from riskloom.session import stage_path
 
 
 def group_quantiles(
@@ -33,21 +26,24 @@ def group_quantiles(
 ) -> DataFrame:
     """One row per key; each column becomes an array of its linearly interpolated quantiles."""
     keys = list(keys)
-    df = not_null_keys(df, keys).select(*keys, *[field(c).cast("double").alias(c) for c in columns])
-    hot = hot_keys(df, keys, hot_rows)
+    df = df.select(*[field(k) for k in keys], *[field(c).cast("double").alias(c) for c in columns])
     points = F.array(*[F.lit(float(p)) for p in probs])
     percentiles = [F.percentile(field(c), points).alias(c) for c in columns]
-    if hot.isEmpty():
-        return df.groupBy(*keys).agg(*percentiles)
-    small = df.join(F.broadcast(hot), keys, "left_anti").groupBy(*keys).agg(*percentiles)
-    large = _ranked(df.join(F.broadcast(hot), keys, "left_semi"), keys, columns, probs)
-    # A hot key whose values are all NULL has no ranks: it comes back through the key table.
-    return small.unionByName(hot.join(large, keys, "left"))
+    return by_key(
+        df,
+        keys,
+        lambda rows: rows.groupBy(*keys).agg(*percentiles),
+        hot_rows,
+        build_hot=lambda rows: quantiles_across_tasks(rows, keys, columns, probs),
+    )
 
 
-def _ranked(
-    df: DataFrame, keys: list[str], columns: Sequence[str], probs: Sequence[float]
+def quantiles_across_tasks(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]
 ) -> DataFrame:
+    """The same result for a few keys of any size, without a group's values in one task."""
+    keys = list(keys)
+    df = df.select(*[field(k) for k in keys], *[field(c).cast("double").alias(c) for c in columns])
     spark = df.sparkSession
     cells = F.array(*[F.struct(F.lit(c).alias("_col"), field(c).alias("_v")) for c in columns])
     long = df.select(*keys, F.inline(cells)).where(F.col("_v").isNotNull())
@@ -106,4 +102,5 @@ def _ranked(
     for c in columns:
         found_values = F.array(*[quantile(c, i, p) for i, p in enumerate(probs)])
         arrays.append(F.when(found_values[0].isNotNull(), found_values).alias(c))
-    return found.groupBy(*keys).agg(*arrays)
+    # A key whose values are all NULL has no ranks, but still has a row.
+    return df.select(*keys).distinct().join(found.groupBy(*keys).agg(*arrays), keys, "left")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -11,11 +10,14 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.aggregates import aggregate
 from riskloom.functions.scalars import field
+from riskloom.operators.skew import HOT_ROWS, by_key, not_null_keys
 
 Spec = tuple[str, str]
 
 # The five statistics every plain recipe takes of each column.
 BASIC_STATS = ("mean", "min", "max", "sum", "var")
+# From this many aggregates on, the combined row is much wider than the rows it combines.
+WIDE = 24
 
 
 def cross_specs(columns: Iterable[str], fns: Iterable[str] = BASIC_STATS) -> list[Spec]:
@@ -23,11 +25,6 @@ def cross_specs(columns: Iterable[str], fns: Iterable[str] = BASIC_STATS) -> lis
     return [(column, fn) for fn, column in product(fns, columns)]
 
 
-def not_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose grouping key is complete; the others belong to no group."""
-    return df.where(reduce(lambda a, b: a & b, [field(k).isNotNull() for k in keys]))
-
-
 def recipe_columns(
     specs: Iterable[Spec], name: str, keys: Sequence[str] = (), where: Column | None = None
 ) -> list[Column]:
@@ -46,20 +43,28 @@ def recipe_agg(
     name: str = "{keys}_{fn}_{col}",
     where: Column | None = None,
     extra: Iterable[Column] = (),
+    hot_rows: int = HOT_ROWS,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """One row per non-NULL key with every pair of the recipe plus ``extra`` aggregates.
 
-    All of them sit in a single partial/final aggregate, so the table is scanned once and only
-    one partial row per key and map task is shuffled, whatever share of the rows a key holds.
+    All of them sit in one aggregate after one shuffle. A narrow recipe is combined before the
+    shuffle; a wide one shuffles the rows instead and treats hot keys apart (see ``skew``).
     """
     columns = [*recipe_columns(specs, name, keys, where), *extra]
-    return not_null_keys(df, keys).groupBy(*keys).agg(*columns)
+
+    def build(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(*columns)
+
+    if len(columns) < WIDE:
+        return build(not_null_keys(df, keys))
+    return by_key(df, keys, build, hot_rows, keys_from)
 
 
 def distinct_counts(
     df: DataFrame, keys: Sequence[str], column: str, outputs: dict[str, Column | None]
 ) -> DataFrame:
-    """Distinct values of one column per key, overall (None) or under conditions.
+    """Distinct non-NULL values of one column per key, overall (None) or under conditions.
 
     Grouping by (key, value) first makes each value one row with 0/1 marks, so any number of
     conditions needs no row expansion and a frequent key is spread over its values. A condition
@@ -69,5 +74,9 @@ def distinct_counts(
         F.max(F.lit(1) if cond is None else F.when(cond, 1)).cast("long").alias(out)
         for out, cond in outputs.items()
     ]
-    per_value = not_null_keys(df, [*keys, column]).groupBy(*keys, column).agg(*marks)
-    return per_value.groupBy(*keys).agg(*[F.sum(field(out)).alias(out) for out in outputs])
+    per_value = not_null_keys(df, keys).groupBy(*keys, column).agg(*marks)
+    counted = [
+        F.when(F.max(field(out)) == 1, F.count(F.when(field(out) == 1, field(column)))).alias(out)
+        for out in outputs
+    ]
+    return per_value.groupBy(*keys).agg(*counted)

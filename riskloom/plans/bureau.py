@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.aggregates import aggregate
 from riskloom.functions.scalars import (
     band_flag, field, flag, known_category, null_below, ratio,
 )
+from riskloom.operators.joins import attach
 from riskloom.operators.pivot import first_occurrence_columns, pivot_columns
 from riskloom.operators.recipe import (
-    cross_specs, not_null_keys, recipe_agg, recipe_columns,
+    cross_specs, distinct_counts, recipe_agg, recipe_columns,
 )
 
 APPLICANT = "SK_ID_CURR"
@@ -121,6 +124,12 @@ def credit_rows(bureau: DataFrame) -> DataFrame:
     )
 
 
+def _values_present(category: str, values: Iterable[str]) -> Column:
+    """Distinct values of a closed category list: a sum of marks instead of a distinct count."""
+    marks = [F.coalesce(F.max(flag(field(category) == v)), F.lit(0)) for v in values]
+    return sum(marks[1:], marks[0]).cast("long")
+
+
 def bureau_features(bureau: DataFrame) -> DataFrame:
     """One row per applicant: credit counts by category, sums and the recipe statistics."""
     credits = credit_rows(bureau)
@@ -146,15 +155,14 @@ def bureau_features(bureau: DataFrame) -> DataFrame:
     recipe = recipe_columns(
         [*COUNT_SPECS, *cross_specs(RECIPE_COLUMNS)], PREFIX + "{keys}_{fn}_{col}", [APPLICANT]
     )
-    # Distinct counts expand rows, so they run on a narrow projection of their own; both
-    # aggregates end up partitioned by applicant and meet without another shuffle.
-    diversity = not_null_keys(bureau, [APPLICANT]).groupBy(APPLICANT).agg(
-        F.count_distinct(field(CREDIT)).alias("bur_num_credits"),
-        F.count_distinct(field("CREDIT_TYPE")).alias("bur_num_credit_types"),
-        F.count_distinct(field("CREDIT_CURRENCY")).alias("bur_num_currency_types"),
+    diversity = [
+        _values_present("CREDIT_TYPE", CREDIT_TYPES).alias("bur_num_credit_types"),
+        _values_present("CREDIT_CURRENCY", CURRENCIES).alias("bur_num_currency_types"),
+    ]
+    wide = recipe_agg(
+        credits, [APPLICANT], extra=[*diversity, *counts, *sums, *recipe], keys_from=bureau
     )
-    wide = recipe_agg(credits, [APPLICANT], extra=[*counts, *sums, *recipe])
-    return diversity.join(wide, APPLICANT, "left")
+    return attach(wide, distinct_counts(bureau, [APPLICANT], CREDIT, {"bur_num_credits": None}), on=[APPLICANT])
 
 
 def with_income_ratios(applicants: DataFrame) -> DataFrame:
@@ -180,9 +188,7 @@ def balance_per_credit(balance: DataFrame) -> DataFrame:
     firsts = first_occurrence_columns(
         "STATUS", {s: f"bubal_first_inst_with_S{s}" for s in MONTH_STATUSES}, month
     )
-    # The list of statuses is closed, so the distinct count is a sum of presence marks.
-    seen = [F.coalesce(F.max(flag(field("STATUS") == s)), F.lit(0)) for s in MONTH_STATUSES]
-    different = sum(seen[1:], seen[0]).cast("long").alias("bubal_num_different_statuses")
+    different = _values_present("STATUS", MONTH_STATUSES).alias("bubal_num_different_statuses")
     return recipe_agg(known, [CREDIT], extra=[*months, different, *firsts])
 
 
@@ -192,4 +198,4 @@ def bureau_balance_features(bureau: DataFrame, balance: DataFrame) -> DataFrame:
     columns = [c for c in per_credit.columns if c != CREDIT]
     owners = bureau.select(APPLICANT, CREDIT)
     joined = owners.join(per_credit, CREDIT, "left")
-    return recipe_agg(joined, [APPLICANT], cross_specs(columns))
+    return recipe_agg(joined, [APPLICANT], cross_specs(columns), keys_from=bureau)
