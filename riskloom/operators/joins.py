@@ -58,8 +58,11 @@ def join_back(
     outputs = [c for c in stats.columns if c not in (*keys, count_col)]
     packed = F.struct(*[field(c) for c in outputs])
     hot = stats.where(field(count_col) > hot_rows).select(*keys, packed.alias("_hot"))
+    # Always 0, but written so that the optimizer cannot tell: a constant would be taken out of the
+    # join key, and with it the spreading of the rows.
+    slot = F.when(field(count_col) > hot_rows, 1).otherwise(0)
     cold = stats.where(field(count_col) <= hot_rows).select(
-        *keys, F.lit(0).alias("_slot"), packed.alias("_cold")
+        *keys, slot.alias("_slot"), packed.alias("_cold")
     )
     settled = reduce(lambda a, b: a | b, [field(k).isNull() for k in keys], F.col("_hot").isNotNull())
     # The partition id spreads identical copies of a row; both parts are the same on a rerun.

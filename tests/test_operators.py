@@ -32,11 +32,22 @@ def test_join_back_is_the_same_hot_or_cold(skewed, hot_rows):
     assert rows(got) == sorted((k, t, "None" if top is None else f"{top:.12g}" if top else "0", f"{v:.12g}" if v else "0") for k, t, top, v in wanted)
 
 
-def test_join_back_spreads_served_rows(spark, skewed):
-    size = F.count(F.lit(1)).alias("n")
-    stats = recipe_agg(skewed, ["k"], [("v", "mean")], "m", extra=[size])
-    plan = join_back(skewed, stats, ["k"], "n", 50)._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan and "xxhash64" in plan
+def test_join_back_spreads_served_rows(spark):
+    copies = spark.range(0, 64_000, 1, 16).select(F.lit(1).alias("k") + F.col("id") * 0, F.lit(2.0).alias("v"))
+    df = copies.toDF("k", "v").unionByName(spark.createDataFrame([(2, 1.0)], "k long, v double"))
+    # Neither broadcasting the small side nor coalescing may hide where the rows go.
+    for key, value in (("autoBroadcastJoinThreshold", "-1"), ("adaptive.enabled", "false")):
+        spark.conf.set(f"spark.sql.{key}", value)
+    try:
+        got = with_group_stat(df, ["k"], "v", "max", "top", hot_rows=1000)
+        assert "hashpartitioning(k" in (plan := got._jdf.queryExecution().executedPlan().toString())
+        assert "_slot" in plan.split("hashpartitioning(k")[1].split("\n")[0]
+        sizes = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("top").alias("n")).collect()]
+        # Identical copies too: those of one map task travel together, not those of the key.
+        assert sum(sizes) == 64_001 and max(sizes) < 64_000 / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_hot_keys_are_found_on_a_sample_too(spark):
