@@ -52,9 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = _own_dirs.setdefault(sc.applicationId, "")
-        if not configured:
-            configured = _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="riskloom-")
+        if sc.applicationId not in _own_dirs:
+            _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="riskloom-")
+        configured = _own_dirs[sc.applicationId]
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured

@@ -13,7 +13,6 @@ from riskloom.queries.credit_tables import credit_table
 from riskloom.sources.schemas import SOURCES
 from riskloom.sources.tables import read_csv
 
-from conftest import rows
 
 
 def table(spark, name, *records):
