@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.session import stage_path
@@ -46,7 +47,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def running_total(
-    df: DataFrame, group: str, order: list[str], value: str, out: str, rows_per_bucket: int = 20_000
+    df: DataFrame, group: str, order: list[str], value: str, out: str, least_rows: int = 256
 ) -> DataFrame:
     """Sum of ``value`` over the rows before this one in its group, in order of a hash.
 
@@ -54,10 +55,9 @@ def running_total(
     column, a 64-bit hash. Each bucket is summed apart and bucket totals are added up, so a group with
     a third of all rows is spread over as many tasks as it has buckets. The group may be null.
     """
-    from pyspark.sql import Window
-
+    # As many rows in a bucket as buckets: neither sum is long for one task.
     total = df.count()
-    buckets = max(1, -(-total // rows_per_bucket))
+    buckets = max(1, -(-total // max(least_rows, math.isqrt(total))))
     # The hash covers the signed 64-bit range evenly; its upper 31 bits choose the bucket.
     upper = F.shiftrightunsigned(F.col(order[0]), 33)
     keyed = df.withColumn("_bucket", F.floor(upper * F.lit(buckets) / F.lit(2**31)).cast("long"))
