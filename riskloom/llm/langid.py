@@ -67,7 +67,7 @@ def sample_by_label(docs: DataFrame, label: str, order: Column, each: int) -> Da
 class LanguageModel:
     """Dictionaries by language, most frequent language first."""
 
-    def __init__(self, contents: dict[str, bytes], window: int = 2048, level: int = 3, min_margin: float = 0.01) -> None:
+    def __init__(self, contents: dict[str, bytes], window: int = 2048, level: int = 8, min_margin: float = 0.01) -> None:
         self.languages = list(contents)
         self.contents = [c.ljust(8) for c in contents.values()]
         self.window, self.level, self.min_margin = window, level, min_margin
@@ -132,7 +132,7 @@ def _agreeing(slices: dict[str, list[bytes]], margin: float = 0.01) -> dict[str,
     kept: dict[str, list[bytes]] = {x: [] for x in slices}
     for half in (0, 1):
         model = [b" ".join(parts[1 - half :: 2]).ljust(8) for parts in slices.values()]
-        sizer = DictionarySizer(model, 2048, 3)
+        sizer = DictionarySizer(model, 2048, 8)
         for own, (language, parts) in enumerate(slices.items()):
             for data in parts[half::2]:
                 sizes = sizer.sizes(data)

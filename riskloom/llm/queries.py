@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, mixing, packing, pii, simhash
+from riskloom.llm import langid, mixing, packing, pii, simhash, toxicity
 from riskloom.llm._common import crc_of_id
 from riskloom.queries.registry import Query, table
 
@@ -76,3 +76,12 @@ def op2_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans")
     )
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_of_id() % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(crc_of_id() % 5 != 0)
+    model = toxicity.fit(docs.where(~held_out), labels)
+    return toxicity.score_toxicity(docs.withColumn("held_out", held_out), model).drop("text")
