@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, mixing, packing, pii, simhash, toxicity
+from riskloom.llm import langid, mixing, packing, pii, simhash, substrings, toxicity
 from riskloom.llm._common import crc_of_id
 from riskloom.queries.registry import Query, table
 
@@ -85,3 +85,31 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(crc_of_id() % 5 != 0)
     model = toxicity.fit(docs.where(~held_out), labels)
     return toxicity.score_toxicity(docs.withColumn("held_out", held_out), model).drop("text")
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substrings.remove_repeated(docs)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN CAST([] AS VARCHAR[])
+    ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+least_doc AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+hit AS (SELECT doc_id, i FROM win JOIN least_doc USING (g) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM hit),
+removed AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t
+  FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
