@@ -7,19 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, embedding_dedup, langid, mixing, packing, pii, simhash, substrings, toxicity
-from riskloom.llm._common import crc_of_id
+import corpus_pipeline
+from riskloom.llm import ann, embedding_dedup, langid, lm_scoring, mixing, packing, pii, simhash, substrings, toxicity
+from riskloom.llm._common import crc_of_id, tokenizer_path
 from riskloom.queries.registry import Query, table
 
 
 
-def tokenizer_path(name: str) -> str:
-    """A vocabulary file of the public tokenizers."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def _is_kind(kind: str) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == kind
 
@@ -124,3 +118,17 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), crc_of_id() % 10 != 0)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
