@@ -11,12 +11,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from riskloom.llm._common import shards_for, text_characters, words_of
 
 ANCHOR = 3  # words of an anchor
-CHUNK_WORDS = 400_000
-SHARD_CHARACTERS = 2_000_000
+CHUNK_WORDS = 1_000_000
+SHARD_CHARACTERS = 12_000_000
+WORD_BITS = 40  # of a word's hash in the index: a one-word difference is missed once in 10^12
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # multiplier of the rolling hash
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -128,13 +130,53 @@ def matching_windows(index: FMIndex, segments: list[np.ndarray] | np.ndarray, at
             yield number[live], place, low[live], high[live]
 
 
-def _packed(value: object) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, protocol=5))
+def _packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """Integer arrays as differences, byte by byte of each place, so that what is small or alike compresses."""
+    parts = []
+    for name, a in arrays.items():
+        a = a.astype(np.int64)
+        kind = "d" if name in DELTA else "p"
+        if kind == "d":
+            a = np.diff(a, prepend=np.int64(0))
+            a = (a << 1) ^ (a >> 63)  # small numbers of either sign become small
+        width = 8 if a.min(initial=0) < 0 else max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        planes = a.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T
+        parts.append((name, kind, len(a), width, planes.tobytes()))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts, protocol=5))
 
 
-def _unpacked(data: bytes) -> dict:
+DELTA = {"vocabulary", "which", "text", "start", "doc"}
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    out = {}
     # Only bytes that this module wrote in the same job are read here.
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    for name, kind, n, width, planes in pickle.loads(zstandard.ZstdDecompressor().decompress(data)):
+        octets = np.zeros((n, 8), np.uint8)
+        octets[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+        a = octets.view("<i8").ravel()
+        if kind == "d":
+            a = np.cumsum((a.view(np.uint64) >> np.uint64(1)).astype(np.int64) ^ -(a & 1))
+        out[name] = a.astype(np.int32) if name == "codes" else a
+    return out
+
+
+def _content(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch [start, end) of the values."""
+    n = len(values)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), _ODD)]), dtype=np.uint64)[:n]
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), _BACK)]), dtype=np.uint64)[:n]
+    total = np.concatenate([[np.uint64(0)], np.cumsum(values * power, dtype=np.uint64)])
+    return _mixed((total[end] - total[start]) * back[start]) ^ (end - start).astype(np.uint64)
+
+
+def _grams(values: np.ndarray) -> np.ndarray:
+    """Hashes of ANCHOR values from each place on, but for the last ones."""
+    n = len(values)
+    gram = values.copy()
+    for i in range(1, ANCHOR):
+        gram[: n - i] = gram[: n - i] * _ODD + values[i:]
+    return _mixed(gram[: max(0, n - ANCHOR + 1)])
 
 
 def _merged(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -170,10 +212,9 @@ def segments_of(texts: list[tuple[int, int, list[bytes]]], window: int, shards:
     text_key = np.array([k for _, k, _ in texts], np.int64)
     n = len(hashes)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    gram = hashes.copy()
-    for i in range(1, ANCHOR):
-        gram[: n - i] = gram[: n - i] * _ODD + hashes[i:]
-    gram = _mixed(gram[: max(0, n - ANCHOR + 1)])
+    # The shards see these bits of the words only, and find the same anchors by them.
+    small = hashes >> np.uint64(64 - WORD_BITS)
+    gram = _grams(small)
     places = window - ANCHOR + 1
     if len(gram) < places:
         return
@@ -190,10 +231,7 @@ def segments_of(texts: list[tuple[int, int, list[bytes]]], window: int, shards:
     stop = np.concatenate([begin[1:], [len(first)]]) - 1
     start, end, text = first[begin], first[stop] + window, owner[first[begin]]
     mark = gram[anchor[begin]]
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _ODD)]), dtype=np.uint64)
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BACK)]), dtype=np.uint64)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * power, dtype=np.uint64)])
-    content = _mixed((total[end] - total[start]) * back[start]) ^ (end - start).astype(np.uint64)
+    content = _content(hashes, start, end)
     from_text = np.concatenate([[0], ends[:-1]])
     order = np.lexsort((start, doc[text], content))
     content, start, end, text, mark = content[order], start[order], end[order], text[order], mark[order]
@@ -205,34 +243,48 @@ def segments_of(texts: list[tuple[int, int, list[bytes]]], window: int, shards:
     done = _merged(doc[text[known]], text_key[text[known]], (start - from_text[text])[known], (end - from_text[text])[known])
     shard_of_group = (mark[head] % np.uint64(shards)).astype(np.int64)
     kept = np.nonzero(own)[0]
-    kept = kept[np.argsort(shard_of_group[group[kept]], kind="stable")]
-    shard = shard_of_group[group[kept]]
-    cuts = np.nonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))[0]
+    shard_of = shard_of_group[group[kept]]
+    in_order = np.lexsort((start[kept], shard_of))  # texts follow one another in the chunk
+    kept, shard_of = kept[in_order], shard_of[in_order]
+    cuts = np.nonzero(np.concatenate([[True], shard_of[1:] != shard_of[:-1]]))[0]
     for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(kept)], strict=True)):
         rows = kept[a:b]
-        heads, which = np.unique(group[rows], return_inverse=True)
-        s, e = start[head[heads]], end[head[heads]]
+        heads, first_row, which = np.unique(group[rows], return_index=True, return_inverse=True)
+        place = np.argsort(first_row)  # segments in the order of their first occurrence
+        number = np.empty(len(place), np.int64)
+        number[place] = np.arange(len(place))
+        s, e = start[head[heads[place]]], end[head[heads[place]]]
         lengths = e - s
         flat = np.repeat(s - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
-        vocabulary, codes = np.unique(hashes[flat], return_inverse=True)
-        yield int(shard[a]), _packed({
-            "vocabulary": vocabulary, "codes": codes.astype(np.uint32), "lengths": lengths.astype(np.uint16),
-            "content": content[head[heads]], "mark": mark[head[heads]], "which": which.astype(np.uint32),
-            "doc": doc[text[rows]], "key": text_key[text[rows]], "start": (start - from_text[text])[rows],
-            "done": done if i == 0 else None,
-        })
+        vocabulary, codes = np.unique(small[flat], return_inverse=True)
+        used, text_number = np.unique(text[rows], return_inverse=True)
+        blob = {
+            "vocabulary": vocabulary, "codes": codes, "lengths": lengths, "which": number[which], "text": text_number,
+            "start": (start - from_text[text])[rows], "doc": doc[used], "key": text_key[used],
+        }
+        if i == 0:
+            blob |= dict(zip(("done_doc", "done_key", "done_start", "done_end"), done, strict=True))
+        yield int(shard_of[a]), _packed(blob)
 
 
 def repeated_in_shard(blobs: list[dict], window: int) -> list[np.ndarray]:
     """Stretches (ident, text hash, start, end) of the shard's segments that repeat from smaller idents."""
-    out = [[np.zeros(0, np.int64)] * 4] + [b["done"] for b in blobs if b["done"] is not None]
-    vocabulary = np.unique(np.concatenate([b["vocabulary"] for b in blobs]))
-    codes = np.concatenate([np.searchsorted(vocabulary, b["vocabulary"])[b["codes"]] for b in blobs]).astype(np.int64) + 1
-    lengths = np.concatenate([b["lengths"] for b in blobs]).astype(np.int64)
-    content, mark = (np.concatenate([b[c] for b in blobs]) for c in ("content", "mark"))
+    out = [[np.zeros(0, np.int64)] * 4]
+    out += [[b[c] for c in ("done_doc", "done_key", "done_start", "done_end")] for b in blobs if "done_doc" in b]
+    # Hashes and anchors (the least gram) of the segments, blob by blob, as most segments go right after.
+    content, mark = [], []
+    for b in blobs:
+        values = b["vocabulary"].astype(np.uint64)[b["codes"]]
+        begins = np.cumsum(b["lengths"]) - b["lengths"]
+        content.append(_content(values, begins, begins + b["lengths"]))
+        bounds = np.stack([begins, begins + b["lengths"] - ANCHOR + 1], axis=1).ravel()
+        mark.append(np.minimum.reduceat(np.append(_grams(values), np.uint64(2**64 - 1)), bounds)[::2])
+    content, mark = np.concatenate(content), np.concatenate(mark)
+    lengths = np.concatenate([b["lengths"] for b in blobs])
     shift = np.concatenate([[0], np.cumsum([len(b["lengths"]) for b in blobs])[:-1]])
-    which = np.concatenate([b["which"] + s for b, s in zip(blobs, shift, strict=True)]).astype(np.int64)
-    doc, key, start = (np.concatenate([b[c] for b in blobs]) for c in ("doc", "key", "start"))
+    which = np.concatenate([b["which"] + s for b, s in zip(blobs, shift, strict=True)])
+    doc, key = (np.concatenate([b[c][b["text"]] for b in blobs]) for c in ("doc", "key"))
+    start = np.concatenate([b["start"] for b in blobs])
     # An anchor that occurs in one document only has no window that another document has.
     names, of_segment = np.unique(mark, return_inverse=True)
     smallest, largest = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
@@ -253,11 +305,16 @@ def repeated_in_shard(blobs: list[dict], window: int) -> list[np.ndarray]:
     used, one = np.unique(of_text[which], return_index=True)
     segment = which[one]  # one copy of each distinct segment
     sizes = lengths[segment]
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])[segment]
     at = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     text = np.zeros(int((sizes + 1).sum()), np.int64)
-    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    text[np.repeat(at, sizes) + within] = codes[np.repeat(begin, sizes) + within]
+    home = np.searchsorted(shift, segment, side="right") - 1
+    for i in np.unique(home):
+        b, here = blobs[i], np.nonzero(home == i)[0]
+        n = sizes[here]
+        begins = (np.cumsum(b["lengths"]) - b["lengths"])[segment[here] - shift[i]]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        # 0 is the separator, so words are told apart by their hash plus one.
+        text[np.repeat(at[here], n) + within] = b["vocabulary"][b["codes"][np.repeat(begins, n) + within]] + 1
     symbols, text = np.unique(text, return_inverse=True)
     owners = owner[used]
     index = FMIndex(text, window)
@@ -313,7 +370,7 @@ def remove_repeated(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 
     A window is ``window`` (at most 16) consecutive words of one text; words are runs without ASCII white space. All
     windows are judged on the input. kept_text joins the kept words by one space. Windows are compared by
-    the 64-bit hashes of their words. A null text has no words; a text with fewer words than a window loses none;
+    WORD_BITS bits of the hashes of their words. A null text has no words; a text with fewer words than a window loses none;
     rows with a null ident neither lose words nor take them from others; rows with one ident do not take words
     from each other; an empty table gives an empty result. Columns with the three names are replaced.
     """
@@ -324,16 +381,32 @@ def remove_repeated(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     names = docs.columns
     found = repeated_stretches(docs, ident, text, window)
     spans = found.groupBy("_id", "_key").agg(F.collect_list(F.struct("_start", "_end")).alias("_spans"))
-    joined = docs.join(
-        spans, (F.col(ident).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left"
-    ).select(*[F.col(f"`{c}`") for c in names], "_spans")
     at = names.index(text)
-    schema = joined.selectExpr("*", "0L AS n_words", "0L AS n_removed", "'' AS kept_text").drop("_spans").schema
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            columns = list(batch.columns)
+            data = [None if t is None else small(t.encode("utf-8", "surrogatepass")) for t in columns[at].to_pylist()]
+            columns[at] = pa.array(data, pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    # The texts cross the shuffle compressed one by one, which takes half as much as Spark's own codec.
+    keyed = docs.withColumn("_of", F.col(ident).cast("long")).withColumn("_hash", F.xxhash64(text))
+    small = StructType([StructField(f.name, BinaryType()) if f.name == text else f for f in keyed.schema.fields])
+    joined = keyed.mapInArrow(squeeze, small).join(
+        spans, (F.col("_of") == F.col("_id")) & (F.col("_hash") == F.col("_key")), "left"
+    ).select(*[F.col(f"`{c}`") for c in names], "_spans")
+    schema = docs.selectExpr("*", "0L AS n_words", "0L AS n_removed", "'' AS kept_text").schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             columns: list[list] = [[], [], []]
-            for t, stretches in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            texts = [None if t is None else whole(t).decode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
+            given = list(batch.columns[:-1])
+            given[at] = pa.array(texts, pa.string())
+            for t, stretches in zip(texts, batch.column("_spans").to_pylist(), strict=True):
                 words = words_of(t)
                 keep = np.ones(len(words), bool)
                 for s in stretches or ():
@@ -342,7 +415,7 @@ def remove_repeated(docs: DataFrame, ident: str = "doc_id", text: str = "text",
                 for c, v in zip(columns, (len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")), strict=True):
                     c.append(v)
             arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*names, *out])
+            yield pa.RecordBatch.from_arrays([*given, *arrays], names=[*names, *out])
 
     return joined.mapInArrow(cut, schema)
 
