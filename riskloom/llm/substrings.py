@@ -271,26 +271,37 @@ def repeated_in_shard(blobs: list[dict], window: int) -> list[np.ndarray]:
     """Stretches (ident, text hash, start, end) of the shard's segments that repeat from smaller idents."""
     out = [[np.zeros(0, np.int64)] * 4]
     out += [[b[c] for c in ("done_doc", "done_key", "done_start", "done_end")] for b in blobs if "done_doc" in b]
-    # Hashes and anchors (the least gram) of the segments, blob by blob, as most segments go right after.
-    content, mark = [], []
+    # Blob by blob, as most segments go right after: hashes of the segments, and of each anchor (the least
+    # gram) with the words after it and with those before it. A window that two documents share has one
+    # of the two in common, since it reaches half of its other words to one side.
+    content, sides = [], ([], [])
+    reach = (window - ANCHOR + 1) // 2
     for b in blobs:
         values = b["vocabulary"].astype(np.uint64)[b["codes"]]
         begins = np.cumsum(b["lengths"]) - b["lengths"]
-        content.append(_content(values, begins, begins + b["lengths"]))
-        bounds = np.stack([begins, begins + b["lengths"] - ANCHOR + 1], axis=1).ravel()
-        mark.append(np.minimum.reduceat(np.append(_grams(values), np.uint64(2**64 - 1)), bounds)[::2])
-    content, mark = np.concatenate(content), np.concatenate(mark)
+        ends = begins + b["lengths"]
+        content.append(_content(values, begins, ends))
+        grams = _grams(values)
+        least = np.minimum.reduceat(np.append(grams, np.uint64(2**64 - 1)), np.stack([begins, ends - ANCHOR + 1], axis=1).ravel())[::2]
+        at = np.nonzero(np.append(grams, np.zeros(ANCHOR - 1, np.uint64)) == np.repeat(least, b["lengths"]))[0]
+        anchor = at[np.searchsorted(at, begins)]
+        for side, low, high in ((sides[0], anchor, anchor + ANCHOR + reach), (sides[1], anchor - reach, anchor + ANCHOR)):
+            inside = (low >= begins) & (high <= ends)
+            low, high = np.where(inside, low, begins), np.where(inside, high, begins + 1)
+            side.append(np.where(inside, _content(values, low, high), np.uint64(0)))
+    content = np.concatenate(content)
     lengths = np.concatenate([b["lengths"] for b in blobs])
     shift = np.concatenate([[0], np.cumsum([len(b["lengths"]) for b in blobs])[:-1]])
     which = np.concatenate([b["which"] + s for b, s in zip(blobs, shift, strict=True)])
     doc, key = (np.concatenate([b[c][b["text"]] for b in blobs]) for c in ("doc", "key"))
     start = np.concatenate([b["start"] for b in blobs])
-    # An anchor that occurs in one document only has no window that another document has.
-    names, of_segment = np.unique(mark, return_inverse=True)
-    smallest, largest = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
-    np.minimum.at(smallest, of_segment[which], doc)
-    np.maximum.at(largest, of_segment[which], doc)
-    shared = (smallest != largest)[of_segment]
+    shared = np.zeros(len(lengths), bool)
+    for side in sides:
+        names, of_segment = np.unique(np.concatenate(side), return_inverse=True)
+        smallest, largest = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
+        np.minimum.at(smallest, of_segment[which], doc)
+        np.maximum.at(largest, of_segment[which], doc)
+        shared |= ((smallest != largest) & (names != 0))[of_segment]
     # Equal segments of several chunks are indexed once, for the smallest ident.
     texts, of_text = np.unique(content, return_inverse=True)
     owner = np.full(len(texts), np.iinfo(np.int64).max)
