@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm._common import sliced
+
 _HAS_LETTER = re.compile(r"[^\W\d_]").search
 _LETTERS_ONLY = re.compile(r"[\W\d_]+").sub
 UNKNOWN = "und"
@@ -158,7 +160,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [score(t) for t in batch.column(at).to_pylist()]
             columns = list(zip(*found, strict=True)) if found else [(), (), (), ()]
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())

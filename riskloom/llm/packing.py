@@ -13,13 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm._common import staged
+from riskloom.llm._common import sliced, staged
 
 _INNER_SPACE = re.compile(r"\s").search
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 _FIRST = "\x00"
-# Units kept by each worker in each of two generations; about 100 MB together.
-CACHE_UNITS = 250_000
+# Units kept by each worker in each of two generations; about 40 MB together.
+CACHE_UNITS = 100_000
 _UNITS_AT_ONCE = 400
 
 
@@ -126,20 +126,18 @@ def tokenized(docs: DataFrame, ident: str, text: str, source: str, tokenizer: st
         end = np.array([end_id], own.dtype).tobytes()
         width = own.dtype.itemsize
         before: dict[str | None, int] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                sources = rows.column("_source").to_pylist()
-                ids = [x + end for x in own.encode(rows.column("_text").to_pylist())]
-                sizes, starts = [len(x) // width for x in ids], []
-                for s, n in zip(sources, sizes, strict=True):
-                    starts.append(before.get(s, 0))
-                    before[s] = starts[-1] + n
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("_id"), rows.column("_source"), pa.array([part] * len(ids), pa.int64()),
-                     pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["_id", "_source", "_part", "_before", "_n", "_ids"],
-                )
+        for rows in sliced(batches, 500):
+            sources = rows.column("_source").to_pylist()
+            ids = [x + end for x in own.encode(rows.column("_text").to_pylist())]
+            sizes, starts = [len(x) // width for x in ids], []
+            for s, n in zip(sources, sizes, strict=True):
+                starts.append(before.get(s, 0))
+                before[s] = starts[-1] + n
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("_id"), rows.column("_source"), pa.array([part] * len(ids), pa.int64()),
+                 pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                names=["_id", "_source", "_part", "_before", "_n", "_ids"],
+            )
 
     return staged(plain.mapInArrow(run, schema), "tokens")
 
@@ -271,7 +269,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns = [batch.column(c).to_pylist() for c in ("_id", "_source", "_at", "_n", "_ids")]
             out: list[list] = [[] for _ in range(8)]
             for doc, src, at, n, raw in zip(*columns, strict=True):

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm._common import sliced, staged
+
 KINDS = ("email", "ip", "card", "phone")
 REDACTED = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
@@ -197,7 +199,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = 20_000, threshold: fl
     schema = "kind string, vote string, holding array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for t in batch.column(0).to_pylist():
                 for s in candidates(t or ""):
@@ -208,8 +210,6 @@ def fit(docs: DataFrame, text: str = "text", sample: int = 20_000, threshold: fl
                 names=["kind", "vote", "holding"],
             )
 
-    from riskloom.llm._common import staged
-
     found = docs.select(F.col(text).alias("_text")).mapInArrow(run, schema)
     counted = staged(found.groupBy("kind", "vote", "holding").agg(F.count("*").alias("n")), "votes")
     patterns = {(r[0], r[1]): r[2] for r in counted.groupBy("kind", "vote").agg(F.sum("n")).collect()}
@@ -262,7 +262,7 @@ def detect(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [
                 [dict(zip(("kind", "start", "end", "base", "score"), s, strict=True)) for s in spans_of(t, model)]
                 for t in batch.column(at).to_pylist()
@@ -288,7 +288,7 @@ def redact(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
         return "".join([*out, t[end:]]) if out else t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns = list(batch.columns)
             columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from riskloom.llm._blocks import block_pairs, spanning_links
-from riskloom.llm._common import staged, words_of
+from riskloom.llm._common import sliced, staged, words_of
 from riskloom.llm._components import connected_components
 
 BITS = 64
@@ -64,7 +64,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", size: int = 3, out: st
     schema = StructType([*docs.schema.fields, StructField(out, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = [_signed(fingerprint(t, size)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, out]

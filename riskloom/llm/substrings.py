@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from riskloom.llm._common import shards_for, text_characters, words_of
+from riskloom.llm._common import shards_for, sliced, text_characters, words_of
 
 ANCHOR = 3  # words of an anchor
 CHUNK_WORDS = 1_000_000
@@ -356,7 +356,7 @@ def repeated_stretches(docs: DataFrame, ident: str, text: str, window: int) -> D
             )
 
         held, words = [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             for i, k, t in zip(*(batch.column(c).to_pylist() for c in ("_id", "_key", "_text")), strict=True):
                 found = words_of(t)
                 if len(found) >= window:
@@ -396,7 +396,7 @@ def remove_repeated(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in sliced(batches):
             columns = list(batch.columns)
             data = [None if t is None else small(t.encode("utf-8", "surrogatepass")) for t in columns[at].to_pylist()]
             columns[at] = pa.array(data, pa.binary())
@@ -412,7 +412,7 @@ def remove_repeated(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in sliced(batches):
             columns: list[list] = [[], [], []]
             texts = [None if t is None else whole(t).decode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
             given = list(batch.columns[:-1])

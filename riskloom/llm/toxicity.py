@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm._common import staged, union_all
+from riskloom.llm._common import sliced, staged, union_all
 from riskloom.llm.langid import DictionarySizer, plain
 
 LEVEL = 9
@@ -81,7 +81,7 @@ class ToxicityModel:
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of word beginnings in toxic and ordinary texts, added up over a task's batch."""
-    for batch in batches:
+    for batch in sliced(batches):
         counts: list[Counter[str]] = [Counter(), Counter()]
         texts: Counter[str] = Counter()
         words = [0, 0]
@@ -169,7 +169,7 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(*contents)
-        for batch in batches:
+        for batch in sliced(batches):
             x = [distances.features(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
@@ -201,7 +201,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [score(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*names, "score"])
 
