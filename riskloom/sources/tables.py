@@ -27,26 +27,33 @@ def _present(name: str) -> Column:
 def _typed(name: str, data_type: T.DataType) -> Column:
     text = _present(name)
     if isinstance(data_type, _INTEGRAL):
-        # Writers store an integer column that has gaps as 12.0; plain digits keep full precision.
-        whole = F.coalesce(text.try_cast("bigint"), text.cast("double").cast("bigint"))
-        return whole.cast(data_type)
+        # Writers store an integer column that has gaps as 12.0. A decimal keeps every digit of a bigint;
+        # what has a fraction, or is no number, fails.
+        number = text.try_cast("decimal(38,18)")
+        wrong = F.raise_error(F.concat(F.lit(f"{name} is no whole number: "), text)).cast(data_type)
+        return F.when(text.isNull(), None).when(number == F.floor(number), number.cast(data_type)).otherwise(wrong)
     if isinstance(data_type, _FRACTIONAL):
         return drop_nan(text.cast(data_type))
     return text.cast(data_type)
 
 
-def _read_text(spark: SparkSession, path: str) -> DataFrame:
+def _read_text(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     # Quoted or not, an empty field must arrive as an empty text and not as NULL.
-    return spark.read.csv(path, header=True, escape='"', nullValue="\u0000", emptyValue="")
+    return spark.read.csv(path, header=True, escape='"', nullValue="\u0000", emptyValue="", multiLine=multi_line)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
     """Scan a headered CSV with missing tokens as NULL; columns are matched by header name.
 
+    Quoted texts may hold line breaks, so each file is read by one task. ``multi_line=False`` splits large
+    files over tasks and is right only for files without such texts.
+
     Text that is neither missing nor of the declared type fails the job. Columns of the file that
     the schema does not name are read with an inferred type, after the named ones.
     """
-    raw = _read_text(spark, path)
+    raw = _read_text(spark, path, multi_line)
     declared = {f.name: f.dataType for f in schema.fields} if schema else {}
     missing = [name for name in declared if name not in raw.columns]
     if missing:

@@ -38,6 +38,19 @@ def test_text_in_a_number_column_fails(spark, tmp_path):
         read_csv(spark, path, schema(a=T.DoubleType())).collect()
 
 
+def test_whole_numbers_are_exact_or_fail(spark, tmp_path):
+    path = write(tmp_path, "a\n9007199254740993.0\n-9223372036854775808\n")
+    assert {r.a for r in read_csv(spark, path, schema(a=T.LongType())).collect()} == {9007199254740993, -(2**63)}
+    with pytest.raises(Exception, match="12.7"):
+        read_csv(spark, write(tmp_path, "a\n12.7\n"), schema(a=T.IntegerType())).collect()
+
+
+def test_texts_with_line_breaks_come_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb"), (2, 'q"\n\n,x'), (3, "c")], "id long, s string")
+    write_csv(df, str(tmp_path / "csv"))
+    assert rows(read_csv(spark, str(tmp_path / "csv"), df.schema)) == rows(df)
+
+
 def test_missing_columns_are_reported(spark, tmp_path):
     with pytest.raises(ValueError, match="b"):
         read_csv(spark, write(tmp_path, "a\n1\n"), schema(b=T.LongType()))
