@@ -86,7 +86,7 @@ def _lifted(x: np.ndarray, largest: float) -> np.ndarray:
 def _lists_of(graph: CentroidGraph, x: np.ndarray, most: int, ratio: float, replicas: bool) -> list[list[int]]:
     """Lists whose centroid is at most (1 + ratio) times as far as the nearest one.
 
-    For a stored vector, a centroid is left out where one already taken is nearer to it than the vector is: the vector
+    For a stored vector, a centroid is left out where one already taken is much nearer to it than the vector is: the vector
     would lie in two lists that are searched together anyway.
     """
     got, d = graph.search(x, most)
@@ -98,7 +98,7 @@ def _lists_of(graph: CentroidGraph, x: np.ndarray, most: int, ratio: float, repl
         taken = [int(g[0])]
         for j in np.nonzero(c)[0][1:]:
             apart = ((graph.centres[taken] - graph.centres[g[j]]) ** 2).sum(axis=1)
-            if (apart >= 0.5 * row[j]).all():
+            if (apart >= 0.2 * row[j]).all():
                 taken.append(int(g[j]))
         out.append(taken)
     return out
@@ -106,7 +106,7 @@ def _lists_of(graph: CentroidGraph, x: np.ndarray, most: int, ratio: float, repl
 
 def search(
     vectors: DataFrame, queries: DataFrame, ident: str = "vec_id", vector: str = "embedding", nearest: int = 20,
-    list_rows: int = 400, replicas: int = 4, probes: int = 48, ratio: float = 0.15, probe_ratio: float = 0.22, block_rows: int = 1024,
+    list_rows: int = 400, replicas: int = 3, probes: int = 96, ratio: float = 0.15, probe_ratio: float = 0.4, block_rows: int = 1024,
 ) -> DataFrame:
     """(query_id, rank, ident, score): each query's ``nearest`` rows by largest inner product.
 

@@ -143,8 +143,8 @@ def _agreeing(slices: dict[str, list[bytes]], margin: float = 0.01) -> dict[str,
     return {x: kept[x] or slices[x] for x in slices}
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """All columns plus lang_pred, score, margin, accepted.
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "") -> DataFrame:
+    """All columns plus lang_pred, score, margin, accepted, each after ``prefix``.
 
     The whole text is compressed in windows with every dictionary; the language with the smallest total
     wins, ties going to the more frequent one. accepted is false where the next language's total is
@@ -152,11 +152,11 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     no learned language. score lies between 0 and 1. Repeated rows get equal values; an empty table gives
     none. Columns of the input with one of the four names are replaced.
     """
-    out = ("lang_pred", "score", "margin", "accepted")
+    out = [prefix + c for c in ("lang_pred", "score", "margin", "accepted")]
     docs = docs.drop(*out)
     at = docs.columns.index(text)
     names = docs.columns
-    schema = docs.selectExpr("*", "'' AS lang_pred", "0D AS score", "0D AS margin", "true AS accepted").schema
+    schema = docs.select("*", *[F.lit(v).alias(c) for c, v in zip(out, ("", 0.0, 0.0, True), strict=True)]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()

@@ -246,20 +246,21 @@ def mixed_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     which no word is taken, those without words included, are left out.
     """
     row = "_row_of_mix"
+    # Names of the input may clash with those of the mix, so these have names of their own.
     numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mix-input")
-    kept = mix(numbered, ident, text, source, carry=(row,), **options).select(row, "size", "kept")
+    kept = mix(numbered, ident, text, source, carry=(row,), **options).select(row, F.col("size").alias("_size_of_mix"), F.col("kept").alias("_kept_of_mix"))
     words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))
 
     def copy(n: int) -> Column:
-        pieces = F.filter("kept", lambda k: k["times"] >= n)
+        pieces = F.filter("_kept_of_mix", lambda k: k["times"] >= n)
         cut = F.flatten(
             F.transform(pieces, lambda k: F.slice(words, (k["first"] + 1).cast("int"), (k["last"] - k["first"] + 1).cast("int")))
         )
-        whole = F.forall("kept", lambda k: k["times"] >= n)
+        whole = F.forall("_kept_of_mix", lambda k: k["times"] >= n)
         return F.when(whole, F.col(text)).when(F.size(pieces) > 0, F.array_join(cut, " "))
 
     most = int(-(-float(options.get("cap", 2.0)) // 1))
-    joined = numbered.join(kept.where("size > 0"), row)
+    joined = numbered.join(kept.where("_size_of_mix > 0"), row)
     copies = F.array_compact(F.array(*[copy(n) for n in range(1, most + 1)]))
     return joined.withColumn("_copy_of_mix", F.explode(copies)).select(
         *[F.col("_copy_of_mix").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
