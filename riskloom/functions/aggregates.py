@@ -39,8 +39,8 @@ def _median(c: Column, rows: Column) -> Column:
     return F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))[1]
 
 
-# median and iqr keep the distinct values of a group in one task: use them only on groups of
-# bounded size (last-k rows) and operators.quantiles for whole histories.
+# median and iqr keep the distinct values of a group in one task: used as they stand only on groups of
+# bounded size (last-k rows); recipes rank those of hot keys across tasks.
 AGGREGATES = {
     "sum": _sum,
     "mean": lambda c, rows: drop_nan(F.avg(c)),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalars import field
 from riskloom.operators.skew import HOT_ROWS
 
-# Rows of a hot or missing key are spread over this many slots when they must be shuffled.
+# Rows of a hot or missing key are spread over this many slots when they must be shuffled, or over eight
+# for each shuffle partition if that is more.
 SPREAD_SLOTS = 512
 
 
@@ -66,8 +67,9 @@ def join_back(
     )
     settled = reduce(lambda a, b: a | b, [field(k).isNull() for k in keys], F.col("_hot").isNotNull())
     # The partition id spreads identical copies of a row; both parts are the same on a rerun.
+    slots = max(SPREAD_SLOTS, 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     mix = F.xxhash64(F.spark_partition_id(), *[field(c) for c in rows.columns])
-    spread = F.lit(1) + F.pmod(mix, F.lit(SPREAD_SLOTS))
+    spread = F.lit(1) + F.pmod(mix, F.lit(slots))
     tagged = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_slot", F.when(settled, spread.cast("int")).otherwise(0)
     )

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.aggregates import aggregate
-from riskloom.functions.scalars import field
+from riskloom.functions.scalars import drop_nan, field
+from riskloom.operators.quantiles import group_quantiles
 from riskloom.operators.skew import HOT_ROWS, by_key, not_null_keys
 
 Spec = tuple[str, str]
@@ -49,8 +50,17 @@ def recipe_agg(
     """One row per non-NULL key with every pair of the recipe plus ``extra`` aggregates.
 
     All of them sit in one aggregate after one shuffle. A narrow recipe is combined before the
-    shuffle; a wide one shuffles the rows instead and treats hot keys apart (see ``skew``).
+    shuffle; a wide one shuffles the rows instead and treats hot keys apart (see ``skew``). Medians and
+    quartile ranges hold a group's values in one task, so those of hot keys are ranked across tasks
+    (see ``quantiles``) and joined on.
     """
+    specs = list(specs)
+    exact = [s for s in specs if s[1] in ("median", "iqr")]
+    if exact:
+        plain = [s for s in specs if s not in exact]
+        out = _with_quantiles(df, keys, plain, exact, name, where, list(extra), hot_rows, keys_from)
+        wanted = [name.format(keys="_".join(keys), fn=fn, col=column) for column, fn in specs]
+        return out.select(*keys, *[field(c) for c in wanted], *[field(c) for c in out.columns if c not in (*keys, *wanted)])
     columns = [*recipe_columns(specs, name, keys, where), *extra]
 
     def build(rows: DataFrame) -> DataFrame:
@@ -80,3 +90,35 @@ def distinct_counts(
         for out in outputs
     ]
     return per_value.groupBy(*keys).agg(*counted)
+
+
+def _with_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    plain: Sequence[Spec],
+    exact: Sequence[Spec],
+    name: str,
+    where: Column | None,
+    extra: Sequence[Column],
+    hot_rows: int,
+    keys_from: DataFrame | None,
+) -> DataFrame:
+    """The plain aggregates, and medians and quartile ranges that are safe for groups of any size."""
+    columns = sorted({column for column, _ in exact})
+    rows = F.lit(True) if where is None else where
+    inputs = df.select(
+        *[field(k) for k in keys], *[F.when(rows, field(c)).alias(f"_q{i}") for i, c in enumerate(columns)]
+    )
+    # A quartile range is NULL where a value of the group is missing.
+    complete = [
+        (F.count(F.when(rows, field(c))) == F.count(F.when(rows, 1))).alias(f"_all{i}") for i, c in enumerate(columns)
+    ]
+    stats = recipe_agg(df, keys, plain, name, where, [*extra, *complete], hot_rows, keys_from)
+    points = group_quantiles(inputs, keys, [f"_q{i}" for i in range(len(columns))], (0.25, 0.5, 0.75), hot_rows)
+    out = stats.join(points, list(keys), "left")
+    for column, fn in exact:
+        i = columns.index(column)
+        q = F.col(f"_q{i}")
+        value = q[1] if fn == "median" else F.when(F.col(f"_all{i}"), drop_nan(q[2] - q[0]))
+        out = out.withColumn(name.format(keys="_".join(keys), fn=fn, col=column), value)
+    return out.drop(*[f"_q{i}" for i in range(len(columns))], *[f"_all{i}" for i in range(len(columns))])

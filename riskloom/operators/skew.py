@@ -20,6 +20,8 @@ from riskloom.session import materialise
 # A key is hot above this many rows. At most (all rows / HOT_ROWS) keys can be hot, which bounds
 # every table of hot keys: a million rows at 10^12 input rows.
 HOT_ROWS = 1_000_000
+# Lists of hot keys up to this length are broadcast; with more, all keys are treated as hot.
+BROADCAST_KEYS = 100_000
 # Sampled rows by which a key at the limit is recognised.
 _SAMPLE_HITS = 1000
 
@@ -57,15 +59,18 @@ def by_key(
 
     ``build`` must give one row per key from any set of rows that holds whole keys. Hot keys go
     through ``build_hot`` (by default ``build``) without clustering, so that Spark combines them
-    before the shuffle. ``keys_from`` names a cheaper table with the same rows per key to look for
-    hot keys in.
+    before the shuffle; so do all keys if the list of hot ones is too long to broadcast.
+    ``keys_from`` names a cheaper table with the same rows per key to look for hot keys in.
     """
     keys = list(keys)
     df = not_null_keys(df, keys)
     hot = hot_keys(df if keys_from is None else keys_from, keys, hot_rows)
     clustering = [field(k) for k in keys]
-    if hot.isEmpty():
+    found = hot.limit(BROADCAST_KEYS + 1).count()
+    if not found:
         return build(df.repartition(*clustering))
+    if found > BROADCAST_KEYS:
+        return (build_hot or build)(df)
     usual = df.join(F.broadcast(hot), keys, "left_anti").repartition(*clustering)
     frequent = df.join(F.broadcast(hot), keys, "left_semi")
     return build(usual).unionByName((build_hot or build)(frequent))

@@ -202,3 +202,36 @@ def test_profile(spark):
     assert [tuple(r) for r in value_counts(df, "c").collect()] == [("b", 2), ("a", 1)]
     assert tuple(table_shape(df).first()) == (4, 2)
     assert numeric_columns(df) == ["n"] and string_columns(df) == ["c"] and numeric_columns(df, ["n"]) == []
+
+
+@pytest.mark.parametrize("hot_rows", [1, 50, 10**6])
+def test_recipe_medians_are_the_same_hot_or_cold(skewed, hot_rows):
+    specs = [("v", "median"), ("v", "sum"), ("v", "iqr")]
+    got = recipe_agg(skewed, ["k"], specs, where=F.col("t") > 1, hot_rows=hot_rows)
+    assert got.columns == ["k", "k_median_v", "k_sum_v", "k_iqr_v"]
+    kept = skewed.toPandas().query("t > 1").groupby("k")["v"]
+    for r in got.collect():
+        if r.k in kept.groups:
+            v = kept.get_group(r.k)
+            assert (r.k_median_v, r.k_sum_v) == (v.median(), v.sum())
+            assert r.k_iqr_v == pytest.approx(v.quantile(0.75) - v.quantile(0.25))
+
+
+def test_all_keys_take_the_hot_route_where_the_list_is_too_long(skewed, monkeypatch):
+    monkeypatch.setattr("riskloom.operators.skew.BROADCAST_KEYS", 3)
+
+    def count(name):
+        return lambda df: df.groupBy("k").agg(F.count("*").alias(name))
+
+    got = by_key(skewed, ["k"], count("n"), 1, build_hot=count("hot"))
+    assert got.columns == ["k", "hot"] and got.count() == skewed.where("k IS NOT NULL").select("k").distinct().count()
+
+
+def test_last_k_is_the_same_above_the_limit_of_the_optimizer(spark):
+    data = [(1 if i % 3 else 2, i * 37 % 1009, i) for i in range(5000)]
+    df = spark.createDataFrame(data, "k int, t int, id int").repartition(4)
+    got = last_k(df, ["k"], "t", 1500, ["id"])
+    best = {k: sorted(((t, i) for key, t, i in data if key == k), reverse=True)[:1500] for k in (1, 2)}
+    assert {(r.k, r._rank): (r.t, r.id) for r in got.collect()} == {
+        (k, n + 1): x for k, found in best.items() for n, x in enumerate(found)
+    }
