@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.aggregates import aggregate
 from riskloom.functions.scalars import drop_nan, field
-from riskloom.operators.quantiles import group_quantiles
+from riskloom.operators.quantiles import quantiles_across_tasks
 from riskloom.operators.skew import HOT_ROWS, by_key, not_null_keys
 
 Spec = tuple[str, str]
@@ -19,6 +19,8 @@ Spec = tuple[str, str]
 BASIC_STATS = ("mean", "min", "max", "sum", "var")
 # From this many aggregates on, the combined row is much wider than the rows it combines.
 WIDE = 24
+# Functions that hold the values of a group in one task.
+EXACT = ("median", "iqr")
 
 
 def cross_specs(columns: Iterable[str], fns: Iterable[str] = BASIC_STATS) -> list[Spec]:
@@ -54,18 +56,14 @@ def recipe_agg(
     quartile ranges hold a group's values in one task, so those of hot keys are ranked across tasks
     (see ``quantiles``) and joined on.
     """
-    specs = list(specs)
-    exact = [s for s in specs if s[1] in ("median", "iqr")]
-    if exact:
-        plain = [s for s in specs if s not in exact]
-        out = _with_quantiles(df, keys, plain, exact, name, where, list(extra), hot_rows, keys_from)
-        wanted = [name.format(keys="_".join(keys), fn=fn, col=column) for column, fn in specs]
-        return out.select(*keys, *[field(c) for c in wanted], *[field(c) for c in out.columns if c not in (*keys, *wanted)])
+    specs, extra = list(specs), list(extra)
     columns = [*recipe_columns(specs, name, keys, where), *extra]
 
     def build(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*keys).agg(*columns)
 
+    if any(fn in EXACT for _, fn in specs):
+        return by_key(df, keys, build, hot_rows, keys_from, lambda rows: _of_hot_keys(rows, keys, specs, name, where, extra))
     if len(columns) < WIDE:
         return build(not_null_keys(df, keys))
     return by_key(df, keys, build, hot_rows, keys_from)
@@ -92,19 +90,12 @@ def distinct_counts(
     return per_value.groupBy(*keys).agg(*counted)
 
 
-def _with_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    plain: Sequence[Spec],
-    exact: Sequence[Spec],
-    name: str,
-    where: Column | None,
-    extra: Sequence[Column],
-    hot_rows: int,
-    keys_from: DataFrame | None,
+def _of_hot_keys(
+    df: DataFrame, keys: Sequence[str], specs: Sequence[Spec], name: str, where: Column | None, extra: Sequence[Column]
 ) -> DataFrame:
-    """The plain aggregates, and medians and quartile ranges that are safe for groups of any size."""
-    columns = sorted({column for column, _ in exact})
+    """The same columns for groups of any size: medians and quartile ranges are ranked across tasks."""
+    keys = list(keys)
+    columns = sorted({column for column, fn in specs if fn in EXACT})
     rows = F.lit(True) if where is None else where
     inputs = df.select(
         *[field(k) for k in keys], *[F.when(rows, field(c)).alias(f"_q{i}") for i, c in enumerate(columns)]
@@ -113,12 +104,19 @@ def _with_quantiles(
     complete = [
         (F.count(F.when(rows, field(c))) == F.count(F.when(rows, 1))).alias(f"_all{i}") for i, c in enumerate(columns)
     ]
-    stats = recipe_agg(df, keys, plain, name, where, [*extra, *complete], hot_rows, keys_from)
-    points = group_quantiles(inputs, keys, [f"_q{i}" for i in range(len(columns))], (0.25, 0.5, 0.75), hot_rows)
-    out = stats.join(points, list(keys), "left")
-    for column, fn in exact:
+    plain = recipe_columns([s for s in specs if s[1] not in EXACT], name, keys, where)
+    stats = df.groupBy(*keys).agg(*plain, *extra, *complete)
+    points = quantiles_across_tasks(inputs, keys, [f"_q{i}" for i in range(len(columns))], (0.25, 0.5, 0.75))
+    out = []
+    for column, fn in specs:
+        output = name.format(keys="_".join(keys), fn=fn, col=column)
+        if fn not in EXACT:
+            out.append(field(output))
+            continue
         i = columns.index(column)
         q = F.col(f"_q{i}")
         value = q[1] if fn == "median" else F.when(F.col(f"_all{i}"), drop_nan(q[2] - q[0]))
-        out = out.withColumn(name.format(keys="_".join(keys), fn=fn, col=column), value)
-    return out.drop(*[f"_q{i}" for i in range(len(columns))], *[f"_all{i}" for i in range(len(columns))])
+        out.append(value.alias(output))
+    own = len(keys) + len(plain)
+    others = [field(c) for c in stats.columns[own : own + len(extra)]]
+    return stats.join(points, keys, "left").select(*keys, *out, *others)
