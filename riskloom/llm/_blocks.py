@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm._common import staged
 
 
-def block_pairs(members: DataFrame, keys: list[str], ident: str, columns: list[str], rows: int) -> DataFrame:
+def block_pairs(
+    members: DataFrame, keys: list[str], ident: str, columns: list[str], rows: int, weight: Column | None = None, most: int = 1
+) -> DataFrame:
     """One row per pair of blocks of a bucket: keys, block_a, block_b, a, b (arrays of structs).
 
     A bucket of n members is cut into ceil(n / rows) blocks by a hash of ``ident``; each unordered pair
     of blocks is a row of its own, dealt to tasks by bucket and block, so that a bucket with a third
     of all members is spread over many tasks and no task holds it. ``b`` is null where both blocks are
-    the same one. Buckets of one member are left out.
+    the same one. Buckets of one member are left out. With ``weight``, a block has about ``most`` of it or less.
     """
     members = staged(members, "members")
     sizes = staged(
-        members.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"), "bucket-sizes"
+        members.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(F.lit(0) if weight is None else weight).alias("_weight")).where("_n > 1"), "bucket-sizes"
     )
-    sizes = sizes.withColumn("_blocks", F.ceil(F.col("_n") / rows).cast("int"))
+    sizes = sizes.withColumn("_blocks", F.greatest(F.ceil(F.col("_n") / rows), F.ceil(F.col("_weight") / most)).cast("int")).drop("_weight")
     blocked = members.join(sizes, keys).withColumn(
         "_block", F.pmod(F.xxhash64(ident), F.col("_blocks").cast("long")).cast("int")
     )
