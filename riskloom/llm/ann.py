@@ -14,6 +14,7 @@ from riskloom.llm._vectors import is_usable, matrix, sample_matrix
 
 SAMPLE = 16_384
 MOST_LISTS = 4096
+READ_SHARE = 8  # a query reads one list of so many at least: a fixed number would lose recall as the lists grow in number
 
 
 class CentroidGraph:
@@ -40,6 +41,10 @@ class CentroidGraph:
         want = min(want, k)
         width = min(k, max(2 * want, 16))
         own = (x**2).sum(axis=1)
+        if want * READ_SHARE >= k:  # a walk would meet most centroids, so all distances are cheaper, and exact
+            distance = np.maximum(own[:, None] + self.norms - 2 * x @ self.centres.T, 0)
+            got = np.argsort(distance, axis=1, kind="stable")[:, :want]
+            return got, np.take_along_axis(distance, got, axis=1)
         distance = np.full((n, k), np.inf)
         expanded = np.zeros((n, k), bool)
         distance[:, self.entry] = own[:, None] + self.norms[self.entry] - 2 * x @ self.centres[self.entry].T
@@ -84,15 +89,15 @@ def _lifted(x: np.ndarray, largest: float) -> np.ndarray:
 
 
 def _lists_of(graph: CentroidGraph, x: np.ndarray, most: int, ratio: float, replicas: bool) -> list[list[int]]:
-    """Lists whose centroid is at most (1 + ratio) times as far as the nearest one.
+    """The nearest lists of a query; for a stored vector, those whose centroid is at most (1 + ratio) times as far as the nearest one.
 
     For a stored vector, a centroid is left out where one already taken is much nearer to it than the vector is: the vector
     would lie in two lists that are searched together anyway.
     """
     got, d = graph.search(x, most)
-    close = d <= (1 + ratio) ** 2 * d[:, :1] + 1e-12
     if not replicas:
-        return [g[c].tolist() for g, c in zip(got, close, strict=True)]
+        return got.tolist()
+    close = d <= (1 + ratio) ** 2 * d[:, :1] + 1e-12
     out = []
     for g, c, row in zip(got, close, d, strict=True):
         taken = [int(g[0])]
@@ -106,7 +111,7 @@ def _lists_of(graph: CentroidGraph, x: np.ndarray, most: int, ratio: float, repl
 
 def search(
     vectors: DataFrame, queries: DataFrame, ident: str = "vec_id", vector: str = "embedding", nearest: int = 20,
-    list_rows: int = 400, replicas: int = 3, probes: int = 96, ratio: float = 0.15, probe_ratio: float = 0.4, block_rows: int = 1024,
+    list_rows: int = 400, replicas: int = 3, probes: int = 96, ratio: float = 0.15, block_rows: int = 1024,
 ) -> DataFrame:
     """(query_id, rank, ident, score): each query's ``nearest`` rows by largest inner product.
 
@@ -114,8 +119,8 @@ def search(
     equal norms, so that inner products order like distances. Centroids of about ``list_rows`` vectors
     each are fitted on SAMPLE vectors (at most MOST_LISTS centroids), with prices that balance the lists,
     and searched by a graph in the memory of each task. A vector near a boundary goes to up to
-    ``replicas`` lists within ``ratio`` of its nearest centroid; a query reads up to ``probes`` lists within
-    ``probe_ratio``. Lists are stored in blocks, and a query block meets a list block in a row of its own,
+    ``replicas`` lists within ``ratio`` of its nearest centroid; a query reads ``probes`` lists or one in
+    READ_SHARE of all, whichever is more, however far they are. Lists are stored in blocks, and a query block meets a list block in a row of its own,
     so long lists are spread over tasks. Scores are the inner products of the original vectors in double
     precision; ties go to the smaller ident. Equal vectors are stored once with their ``nearest`` + 1
     smallest idents, which is all that any query can return of them. Vectors that are null, empty, zero
@@ -150,7 +155,8 @@ def search(
         own, ask = stored.where(F.col("_size") == size), asked.where(F.col("_size") == size)
         x = _lifted(sample_matrix(own.select("_rep", "_vector"), "_vector", "_rep", SAMPLE), largest)
         centres = balanced_centres(x, min(MOST_LISTS, -(-count // list_rows)))
-        answers.append(_scan(own, ask, CentroidGraph(centres), largest, keep, replicas, probes, ratio, probe_ratio, block_rows))
+        reads = max(probes, -(-len(centres) // READ_SHARE))
+        answers.append(_scan(own, ask, CentroidGraph(centres), largest, keep, replicas, reads, ratio, block_rows))
     schema = f"query_id long, rank int, `{ident}` long, score double"
     if not answers:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -179,7 +185,7 @@ def search(
 
 def _scan(
     stored: DataFrame, asked: DataFrame, graph: CentroidGraph, largest: float, keep: int,
-    replicas: int, probes: int, ratio: float, probe_ratio: float, block_rows: int,
+    replicas: int, probes: int, ratio: float, block_rows: int,
 ) -> DataFrame:
     """(_query, _rep, _ids, score): the ``keep`` best vectors of each pair of a list block and a query block."""
 
@@ -205,7 +211,7 @@ def _scan(
         return sizes, cut.groupBy("_list", f"_{out}").agg(F.collect_list("m").alias(out))
 
     list_sizes, list_blocks = blocks(listed(stored, replicas, ratio, True), "_rep", ["_rep", "_ids", "_vector"], "a")
-    query_sizes, query_blocks = blocks(listed(asked, probes, probe_ratio, False), "_query", ["_query", "_vector"], "b")
+    query_sizes, query_blocks = blocks(listed(asked, probes, 0.0, False), "_query", ["_query", "_vector"], "b")
     pairs = list_sizes.join(F.broadcast(query_sizes), "_list").select(
         "_list", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)).alias("_a"), "_nb"
     ).select("_list", "_a", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_b"))

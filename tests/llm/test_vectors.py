@@ -26,6 +26,24 @@ def test_recall_of_nearest_neighbours(spark):
     assert hits >= 0.9 * asked
 
 
+def test_recall_with_many_more_lists_than_probes(spark):
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings").orderBy("vec_id").collect()
+    x, label, rng = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows]), np.random.default_rng(1)
+    drawn = rng.choice(label, 16_000)
+    mean, spread = ({k: f(x[label == k]) for k in set(label.tolist())} for f in (lambda v: v.mean(axis=0), lambda v: v.std(axis=0)))
+    v = np.stack([mean[k] + rng.normal(size=x.shape[1]) * spread[k] for k in drawn.tolist()])
+    vectors = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {}
+    for r in ann.search(vectors, vectors.where("vec_id % 160 = 0"), list_rows=8).collect():  # 2,000 lists
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(v), 160):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(got.get(q, set()) & set(np.argpartition(-score, 20)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 100, hits / 2000
+
+
 def test_nearest_ties_copies_and_bad_vectors(spark):
     rows = [(i, [1.0, 0.0, 0.0], 0) for i in range(60)] + [(100, [0.5, 0.5, 0.0], 0)] + BAD
     vectors = spark.createDataFrame(rows, SCHEMA)
