@@ -67,3 +67,11 @@ def test_large_groups_compare_like_small_ones():
         for i, j in found:
             label = [label[i] if x == label[j] else x for x in label]
         assert all(label[i] == label[j] for i, j in pairs)
+
+
+def test_texts_that_share_an_id_and_copies_without_one(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, text, "en", "a", 1, 1, 0.5), (1, "quite another text under the same number as before", "en", "a", 1, 1, 0.5),
+            (None, text, "en", "a", 1, 1, 0.5), (None, "only here", "en", "a", 1, 1, 0.5), (None, "only here", "de", "a", 1, 1, 0.5)]
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert got == {(1, text), (1, rows[1][1]), (None, "only here")}
