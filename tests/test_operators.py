@@ -12,7 +12,7 @@ from riskloom.operators.quantiles import group_quantiles, quantiles_across_tasks
 from riskloom.operators.recipe import cross_specs, recipe_agg
 from riskloom.operators.skew import by_key, hot_keys
 
-from conftest import rows
+from comparable import rows
 
 
 @pytest.fixture(scope="module")

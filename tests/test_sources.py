@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 from riskloom.sources.schemas import SOURCES
 from riskloom.sources.tables import normalise_nan, read_csv, stage, write_csv, write_stage
 
-from conftest import rows
+from comparable import rows
 
 
 def write(tmp_path, text):
