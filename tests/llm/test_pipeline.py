@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from conftest import SCHEMA
+from odd_tables import SCHEMA
 from riskloom.llm import jaccard
 from riskloom.llm.queries import ORACLES, QUERIES
 
