@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import ann, embedding_dedup, langid, lm_scoring, mixing, packing, pii, simhash, substrings, toxicity
+from riskloom.llm import (
+    ann, centroids, conversations, embedding_dedup, langid, lm_scoring, mixing, packing, pii, sharding, simhash, substrings,
+    toxicity,
+)
 from riskloom.llm._common import crc_of_id, tokenizer_path
+from riskloom.llm.oracles import CENTROIDS, CONVERSATIONS
 from riskloom.queries.registry import Query, table
 
 
@@ -125,6 +129,31 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"), crc_of_id() % 10 != 0)
 
 
+@query
+def op11_sampled_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair_report(conversations.damaged(given), all_of=given)
+
+
+ORACLES["op12_conversation_repair"] = CONVERSATIONS
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+ORACLES["op13_centroid_clustering"] = CENTROIDS
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
