@@ -46,7 +46,7 @@ def _splitters(light: DataFrame, total: int, ranges: int) -> list[int]:
     drawn = light.select(F.explode(F.array_repeat("key", F.floor(wanted).cast("int"))).alias("key"))
     at = [i / ranges for i in range(1, ranges)]
     found = drawn.agg(F.percentile_approx("key", at, 100_000).alias("at")).first()["at"] or []
-    alone = {a + 1 for a, b in zip(found, found[1:]) if a == b and a < 2**63 - 1}
+    alone = {a + 1 for a, b in zip(found, found[1:]) if a == b}
     return sorted(set(found) | alone)
 
 
@@ -78,7 +78,8 @@ def assign(
             F.col(ident).alias("ident"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("crc"),
-            F.xxhash64(text).alias("key"),
+            # 53 bits: quantiles are taken in double precision.
+            F.shiftrightunsigned(F.xxhash64(text), 11).alias("key"),
             given.alias("row"),
         ),
         "sizes",
