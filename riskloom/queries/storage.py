@@ -44,3 +44,19 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ORDERS_SQL)
 def stage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(_orders(spark, sf_dir), "orders")
+
+
+@query(
+    """
+    SELECT doc_id, md5(NULLIF(text, '')) AS digest, CAST(length(NULLIF(text, '')) AS INTEGER) AS n_chars, lang, source
+    FROM documents
+    """
+)
+def csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes and line breaks, written and read again in ranges that cut through them."""
+    path = stage_path(spark, "documents_csv")
+    write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), path)
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in ("text", "lang", "source")])
+    back = read_csv(spark, path, T.StructType([T.StructField("doc_id", T.LongType()), *texts.fields]))
+    digest = F.md5(field("text").cast("binary")).alias("digest")
+    return back.select("doc_id", digest, F.length("text").alias("n_chars"), "lang", "source")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions.scalars import drop_nan, field
 from riskloom.session import stage_path
+from riskloom.sources.line_breaks import read_with_line_breaks
 
 # Texts that the usual CSV readers for data frames take as missing.
 NA_TOKENS = (
@@ -37,23 +38,27 @@ def _typed(name: str, data_type: T.DataType) -> Column:
     return text.cast(data_type)
 
 
-def _read_text(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    # Quoted or not, an empty field must arrive as an empty text and not as NULL.
-    return spark.read.csv(path, header=True, escape='"', nullValue="\u0000", emptyValue="", multiLine=multi_line)
+# Quoted or not, an empty field must arrive as an empty text and not as NULL.
+_OPTIONS = {"escape": '"', "nullValue": "\u0000", "emptyValue": ""}
+
+
+def _read_text(spark: SparkSession, path: str, line_breaks: bool) -> DataFrame:
+    plain = spark.read.csv(path, header=True, multiLine=line_breaks, **_OPTIONS)
+    return read_with_line_breaks(spark, path, plain.columns, _OPTIONS) if line_breaks else plain
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True
 ) -> DataFrame:
     """Scan a headered CSV with missing tokens as NULL; columns are matched by header name.
 
-    Quoted texts may hold line breaks, so each file is read by one task. ``multi_line=False`` splits large
-    files over tasks and is right only for files without such texts.
+    Quoted texts may hold line breaks; large files are split over tasks all the same. ``line_breaks=False``
+    saves the pass that looks for them and is right only for files without such texts.
 
     Text that is neither missing nor of the declared type fails the job. Columns of the file that
     the schema does not name are read with an inferred type, after the named ones.
     """
-    raw = _read_text(spark, path, multi_line)
+    raw = _read_text(spark, path, line_breaks)
     declared = {f.name: f.dataType for f in schema.fields} if schema else {}
     missing = [name for name in declared if name not in raw.columns]
     if missing:
@@ -90,7 +95,8 @@ def _infer(raw: DataFrame, names: list[str]) -> dict[str, T.DataType]:
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Headered CSV, no row index; missing values are empty fields, empty texts are quoted."""
-    df.write.mode(mode).csv(path, header=True, escape='"', nullValue="")
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).csv(path, header=True, escape='"', nullValue="", **spaces)
 
 
 def write_stage(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
