@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import field
-from riskloom.operators.skew import HOT_ROWS
+from riskloom.sources.tables import stage
 
-# Rows of a hot or missing key are spread over this many slots when they must be shuffled, or over eight
+# A key is hot above this many rows.
+HOT_ROWS = 1_000_000
+# Rows without a key are spread over this many slots when they must be shuffled, or over eight
 # for each shuffle partition if that is more.
 SPREAD_SLOTS = 512
+# Classes of keys that share a number of salts.
+SALT_CLASSES = 8_192
 
 
 def key_spine(keys: Sequence[str], *tables: DataFrame) -> DataFrame:
@@ -41,6 +45,27 @@ def prefixed(df: DataFrame, prefix: str, keep: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed({c: f"{prefix}{c}" for c in df.columns if c not in keep})
 
 
+def _row_key(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[field(k) for k in keys])
+
+
+def _salt_bits(stats: DataFrame, keys: Sequence[str], count_col: str, hot_rows: int) -> bytes:
+    """Binary logarithm of the salts of each class of keys, one byte a class; empty if no key is hot.
+
+    ``SALT_CLASSES`` bytes at most, however many keys are hot.
+    """
+    most = F.max(field(count_col)) / F.lit(float(max(hot_rows, 1)))
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(most))).cast("int")
+    classes = stats.groupBy(F.pmod(_row_key(keys), F.lit(SALT_CLASSES)).alias("_class")).agg(bits.alias("_bits"))
+    found = classes.where(F.col("_bits") > 0).collect()
+    if not found:
+        return b""
+    table = bytearray(SALT_CLASSES)
+    for r in found:
+        table[r["_class"]] = r["_bits"]
+    return bytes(table)
+
+
 def join_back(
     rows: DataFrame,
     stats: DataFrame,
@@ -50,31 +75,32 @@ def join_back(
 ) -> DataFrame:
     """Left-join per-key statistics to every member row without piling a hot key on one task.
 
-    ``count_col`` of ``stats`` is the number of rows of the key. Statistics of hot keys are
-    broadcast (their number is bounded, see HOT_ROWS). All other keys hold at most ``hot_rows``
-    rows and meet in an ordinary shuffle join, in which rows already served, or without a
-    complete key, are spread over slots that match nothing. Rows with a NULL key get NULLs.
+    ``count_col`` of ``stats`` is the number of rows of the key, which may be an estimate. A key with more than
+    ``hot_rows`` rows gets salts, two, four and so on: its statistics are repeated for each, and its rows take one by a hash. Rows
+    need to know how many: keys fall into classes by hash, and a class has the salts of its most frequent key,
+    so a table of one byte a class serves any number of hot keys and nothing is broadcast. Rows without a complete key
+    match nothing and are spread over slots; they get NULLs.
     """
     keys = list(keys)
     outputs = [c for c in stats.columns if c not in (*keys, count_col)]
-    packed = F.struct(*[field(c) for c in outputs])
-    hot = stats.where(field(count_col) > hot_rows).select(*keys, packed.alias("_hot"))
-    # Always 0, but written so that the optimizer cannot tell: a constant would be taken out of the
-    # join key, and with it the spreading of the rows.
-    slot = F.when(field(count_col) > hot_rows, 1).otherwise(0)
-    cold = stats.where(field(count_col) <= hot_rows).select(
-        *keys, slot.alias("_slot"), packed.alias("_cold")
-    )
-    settled = reduce(lambda a, b: a | b, [field(k).isNull() for k in keys], F.col("_hot").isNotNull())
-    # The partition id spreads identical copies of a row; both parts are the same on a rerun.
+    stats = stage(stats, "statistics")  # counted below and joined afterwards
+    bits = _salt_bits(stats, keys, count_col, hot_rows)
+    packed = stats.select(*keys, F.struct(*[field(c) for c in outputs], F.lit(True).alias("_is")).alias("_stats"))
+    unkeyed = reduce(lambda a, b: a | b, [field(k).isNull() for k in keys])
     slots = max(SPREAD_SLOTS, 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # The partition id spreads identical copies of a row; both parts are the same on a rerun.
     mix = F.xxhash64(F.spark_partition_id(), *[field(c) for c in rows.columns])
-    spread = F.lit(1) + F.pmod(mix, F.lit(slots))
-    tagged = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_slot", F.when(settled, spread.cast("int")).otherwise(0)
-    )
-    joined = tagged.join(cold, [*keys, "_slot"], "left")
-    return joined.select(
-        *[field(c) for c in rows.columns],
-        *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in outputs],
-    )
+    if bits:
+        place = F.pmod(_row_key(keys), F.lit(SALT_CLASSES)).cast("int") + 1
+        salts = F.pow(F.lit(2), F.conv(F.hex(F.substring(F.lit(bits), place, F.lit(1))), 16, 10)).cast("long")
+        salt = F.pmod(mix, salts).cast("int")
+        packed = packed.withColumn("_slot", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1)))
+    else:
+        # Always 0, but written so that the optimizer cannot tell: a constant would be taken out of the
+        # join key, and with it the spreading of the rows without a key.
+        salt = F.when(unkeyed, 1).otherwise(0)
+        packed = packed.withColumn("_slot", F.when(F.col("_stats").isNull(), 1).otherwise(0))
+    spread = F.pmod(mix, F.lit(slots)).cast("int")
+    salted = rows.withColumn("_slot", F.when(unkeyed, spread).otherwise(salt))
+    joined = salted.join(packed, [*keys, "_slot"], "left")
+    return joined.select(*[field(c) for c in rows.columns], *[F.col("_stats")[c].alias(c) for c in outputs])

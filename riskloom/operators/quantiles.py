@@ -79,15 +79,14 @@ def quantiles_across_tasks(
     wanted = parts.select(*group, "_part", "_before", "_rows", "_total", F.inline(targets)).where(
         (F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("_rows"))
     )
-    # Two rows per hot key, column and quantile: as bounded as the hot keys themselves.
+    # Two rows per key, column and quantile. A partition of a group is no larger than a range, so these joins need no
+    # broadcast where keys are many.
     in_part = Window.partitionBy(*group, "_part").orderBy("_v")
     holding = wanted.select(*group, "_part", "_before").distinct()
-    ordered = ranged.join(F.broadcast(holding), [*group, "_part"]).withColumn(
+    ordered = ranged.join(holding, [*group, "_part"]).withColumn(
         "_end_pos", F.col("_before") + F.sum("_n").over(in_part)
     )
-    found = ordered.drop("_before", "_rows").join(
-        F.broadcast(wanted.drop("_before", "_rows")), [*group, "_part"]
-    ).where(
+    found = ordered.drop("_before", "_rows").join(wanted.drop("_before", "_rows"), [*group, "_part"]).where(
         (F.col("_pos") < F.col("_end_pos")) & (F.col("_pos") >= F.col("_end_pos") - F.col("_n"))
     )
 

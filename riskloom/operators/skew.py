@@ -9,21 +9,22 @@ they meet, except for hot keys, which are combined map-side first.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import field
+from riskloom.operators.joins import HOT_ROWS, join_back
 from riskloom.session import materialise
+from riskloom.sources.tables import stage, stage_buckets
 
-# A key is hot above this many rows. At most (all rows / HOT_ROWS) keys can be hot, which bounds
-# every table of hot keys: a million rows at 10^12 input rows.
-HOT_ROWS = 1_000_000
-# Lists of hot keys up to this length are broadcast; with more, all keys are treated as hot.
+# Lists of hot keys up to this length are broadcast; longer ones are joined with salts.
 BROADCAST_KEYS = 100_000
 # Sampled rows by which a key at the limit is recognised.
 _SAMPLE_HITS = 1000
+ABOUT = "_about"
 
 
 def not_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,7 +33,7 @@ def not_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, found on a sample of the key columns.
+    """Keys with more than ``hot_rows`` rows and about how many, found on a sample of the key columns.
 
     The sample decides only how a key is processed, never its result. A key at the limit is
     expected ``_SAMPLE_HITS`` times and flagged from half of that. The checkpoint keeps the choice
@@ -43,12 +44,65 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     limit = hot_rows
     if fraction < 1.0:
         found, limit = found.sample(fraction, seed=7), _SAMPLE_HITS // 2
-    counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return materialise(counts.where(F.col("_n") > limit).select(*keys))
+    counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias(ABOUT))
+    return materialise(counts.where(F.col(ABOUT) > limit).withColumn(ABOUT, F.ceil(F.col(ABOUT) / fraction)))
+
+
+@dataclass(frozen=True)
+class Clustered:
+    """Rows with a complete key, those of hot keys apart, after one search for hot keys.
+
+    ``usual`` is clustered by the key where it is ``stored``, so that any number of aggregates by that key, or by more columns,
+    read it without a shuffle. At most (all rows / HOT_ROWS) keys are hot.
+    """
+
+    keys: tuple[str, ...]
+    usual: DataFrame
+    frequent: DataFrame | None
+    stored: bool = False
+
+    def select(self, change: Callable[[DataFrame], DataFrame]) -> Clustered:
+        """The same clustering of rows changed one by one."""
+        frequent = None if self.frequent is None else change(self.frequent)
+        return Clustered(self.keys, change(self.usual), frequent, self.stored)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.usual if self.frequent is None else self.usual.unionByName(self.frequent)
+
+
+def split_hot(
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, keys_from: DataFrame | None = None
+) -> Clustered:
+    """Look for hot keys once, and part the rows accordingly.
+
+    ``keys_from`` names a cheaper table with the same rows per key to look in.
+    """
+    keys = list(keys)
+    df = not_null_keys(df, keys)
+    hot = hot_keys(df if keys_from is None else keys_from, keys, hot_rows)
+    found = hot.limit(BROADCAST_KEYS + 1).count()
+    if not found:
+        return Clustered(tuple(keys), df, None)
+    if found > BROADCAST_KEYS:
+        marked = join_back(df, hot.withColumn("_hot", F.lit(True)), keys, ABOUT, hot_rows)
+        usual, frequent = marked.where(F.col("_hot").isNull()), marked.where(F.col("_hot"))
+        return Clustered(tuple(keys), usual.drop("_hot"), frequent.drop("_hot"))
+    hot = F.broadcast(hot.drop(ABOUT))
+    return Clustered(tuple(keys), df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi"))
+
+
+def cluster(
+    df: DataFrame, keys: Sequence[str], name: str, hot_rows: int = HOT_ROWS, keys_from: DataFrame | None = None
+) -> Clustered:
+    """Rows written once in buckets of their key for several aggregates; rows of hot keys are written as they are."""
+    parted = split_hot(df, keys, hot_rows, keys_from)
+    frequent = None if parted.frequent is None else stage(parted.frequent, f"{name}_hot")
+    return Clustered(parted.keys, stage_buckets(parted.usual, name, keys), frequent, stored=True)
 
 
 def by_key(
-    df: DataFrame,
+    df: DataFrame | Clustered,
     keys: Sequence[str],
     build: Callable[[DataFrame], DataFrame],
     hot_rows: int = HOT_ROWS,
@@ -59,18 +113,10 @@ def by_key(
 
     ``build`` must give one row per key from any set of rows that holds whole keys. Hot keys go
     through ``build_hot`` (by default ``build``) without clustering, so that Spark combines them
-    before the shuffle; so do all keys if the list of hot ones is too long to broadcast.
-    ``keys_from`` names a cheaper table with the same rows per key to look for hot keys in.
+    before the shuffle. ``df`` may be parted or clustered already, by these keys or by the first of them.
     """
-    keys = list(keys)
-    df = not_null_keys(df, keys)
-    hot = hot_keys(df if keys_from is None else keys_from, keys, hot_rows)
-    clustering = [field(k) for k in keys]
-    found = hot.limit(BROADCAST_KEYS + 1).count()
-    if not found:
-        return build(df.repartition(*clustering))
-    if found > BROADCAST_KEYS:
-        return (build_hot or build)(df)
-    usual = df.join(F.broadcast(hot), keys, "left_anti").repartition(*clustering)
-    frequent = df.join(F.broadcast(hot), keys, "left_semi")
-    return build(usual).unionByName((build_hot or build)(frequent))
+    parted = df if isinstance(df, Clustered) else split_hot(df, keys, hot_rows, keys_from)
+    usual = parted.usual if parted.stored else parted.usual.repartition(*[field(k) for k in parted.keys])
+    if parted.frequent is None:
+        return build(usual)
+    return build(usual).unionByName((build_hot or build)(parted.frequent))

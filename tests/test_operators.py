@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators.bloom import likely_members
 from riskloom.operators.groupstats import GroupStats, Recipe
 from riskloom.operators.joins import attach, key_spine, prefixed
 from riskloom.operators.latest import last_k, last_k_agg, last_k_apply, latest_one, latest_rows, with_group_stat
@@ -217,14 +218,49 @@ def test_recipe_medians_are_the_same_hot_or_cold(skewed, hot_rows):
             assert r.k_iqr_v == pytest.approx(v.quantile(0.75) - v.quantile(0.25))
 
 
-def test_all_keys_take_the_hot_route_where_the_list_is_too_long(skewed, monkeypatch):
+def test_a_long_list_of_hot_keys_is_not_broadcast(spark, skewed, monkeypatch):
     monkeypatch.setattr("riskloom.operators.skew.BROADCAST_KEYS", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+
+        def count(route):
+            return lambda df: df.groupBy("k").agg(F.count("*").alias("n"), F.lit(route).alias("route"))
+
+        df = skewed.unionByName(spark.createDataFrame([(k, 0, 1.0) for k in range(500, 600)], skewed.schema))
+        got = by_key(df, ["k"], count("usual"), 5, build_hot=count("hot"))
+        assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+        wanted = df.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))
+        wanted = wanted.withColumn("route", F.when(F.col("n") > 5, "hot").otherwise("usual"))
+        assert wanted.select("route").distinct().count() == 2 and rows(got) == rows(wanted)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_two_hundred_thousand_hot_keys_join_back_without_a_broadcast(spark):
+    df = spark.range(0, 800_000, 1, 8).select((F.col("id") % 200_000).alias("k"), F.col("id").alias("v"))
+    df = df.unionByName(spark.range(1000).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("v")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = with_group_stat(df, ["k"], "v", "max", "top", hot_rows=2)
+        assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.count() == 801_000
+        assert got.where("k IS NOT NULL AND top <> k + 600000 OR k IS NULL AND top IS NOT NULL").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
-    def count(name):
-        return lambda df: df.groupBy("k").agg(F.count("*").alias(name))
 
-    got = by_key(skewed, ["k"], count("n"), 1, build_hot=count("hot"))
-    assert got.columns == ["k", "hot"] and got.count() == skewed.where("k IS NOT NULL").select("k").distinct().count()
+def test_latest_rows_shuffles_about_its_result(spark):
+    df = spark.range(0, 400_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 5000).alias("k"), F.floor(F.col("id") / 1000).alias("t"), "id")
+    newest = df.groupBy("k").agg(F.max("t").alias("t"))
+    likely = likely_members(df, newest, ["k", "t"])
+    result = latest_rows(df, ["k"], "t", hot_rows=100)
+    wanted = df.join(newest, ["k", "t"], "left_semi").select(df.columns)
+    assert rows(result) == rows(wanted)
+    n = wanted.count()
+    assert n <= likely.count() < n + 400_000 / 10
+    odd = spark.createDataFrame([(1, None, 1), (1, 2.0, 2), (None, 9.0, 3), (2, None, 4), (1, 2.0, 2), (3, -0.0, 5), (3, 0.0, 6)], "k int, t double, id int")
+    assert sorted(r.id for r in latest_rows(odd, ["k"], "t").collect()) == [2, 2, 5, 6]
 
 
 def test_last_k_is_the_same_above_the_limit_of_the_optimizer(spark):
