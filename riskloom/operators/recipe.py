@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.aggregates import aggregate
 from riskloom.functions.scalars import drop_nan, field
 from riskloom.operators.quantiles import quantiles_across_tasks
-from riskloom.operators.skew import HOT_ROWS, by_key, not_null_keys
+from riskloom.operators.skew import HOT_ROWS, Clustered, by_key, not_null_keys
 
 Spec = tuple[str, str]
 
@@ -40,14 +40,14 @@ def recipe_columns(
 
 
 def recipe_agg(
-    df: DataFrame,
+    df: DataFrame | Clustered,
     keys: Sequence[str],
     specs: Iterable[Spec] = (),
     name: str = "{keys}_{fn}_{col}",
     where: Column | None = None,
     extra: Iterable[Column] = (),
     hot_rows: int = HOT_ROWS,
-    keys_from: DataFrame | None = None,
+    keys_from: DataFrame | Clustered | None = None,
 ) -> DataFrame:
     """One row per non-NULL key with every pair of the recipe plus ``extra`` aggregates.
 
@@ -64,13 +64,13 @@ def recipe_agg(
 
     if any(fn in EXACT for _, fn in specs):
         return by_key(df, keys, build, hot_rows, keys_from, lambda rows: _of_hot_keys(rows, keys, specs, name, where, extra))
-    if len(columns) < WIDE:
+    if len(columns) < WIDE and not isinstance(df, Clustered):
         return build(not_null_keys(df, keys))
     return by_key(df, keys, build, hot_rows, keys_from)
 
 
 def distinct_counts(
-    df: DataFrame, keys: Sequence[str], column: str, outputs: dict[str, Column | None]
+    df: DataFrame | Clustered, keys: Sequence[str], column: str, outputs: dict[str, Column | None]
 ) -> DataFrame:
     """Distinct non-NULL values of one column per key, overall (None) or under conditions.
 
@@ -78,6 +78,8 @@ def distinct_counts(
     conditions needs no row expansion and a frequent key is spread over its values. A condition
     no row of the key satisfies gives NULL.
     """
+    if isinstance(df, Clustered):
+        return by_key(df, keys, lambda rows: distinct_counts(rows, keys, column, outputs))
     marks = [
         F.max(F.lit(1) if cond is None else F.when(cond, 1)).cast("long").alias(out)
         for out, cond in outputs.items()

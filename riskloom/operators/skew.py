@@ -9,7 +9,7 @@ they meet, except for hot keys, which are combined map-side first.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -53,18 +53,20 @@ class Clustered:
     """Rows with a complete key, those of hot keys apart, after one search for hot keys.
 
     ``usual`` is clustered by the key where it is ``stored``, so that any number of aggregates by that key, or by more columns,
-    read it without a shuffle. At most (all rows / HOT_ROWS) keys are hot.
+    read it without a shuffle. At most (all rows / HOT_ROWS) keys are ``hot``.
     """
 
     keys: tuple[str, ...]
     usual: DataFrame
     frequent: DataFrame | None
+    hot: DataFrame
+    n_hot: int
     stored: bool = False
 
     def select(self, change: Callable[[DataFrame], DataFrame]) -> Clustered:
         """The same clustering of rows changed one by one."""
         frequent = None if self.frequent is None else change(self.frequent)
-        return Clustered(self.keys, change(self.usual), frequent, self.stored)
+        return replace(self, usual=change(self.usual), frequent=frequent)
 
     @property
     def rows(self) -> DataFrame:
@@ -72,33 +74,34 @@ class Clustered:
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, keys_from: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, keys_from: DataFrame | Clustered | None = None
 ) -> Clustered:
     """Look for hot keys once, and part the rows accordingly.
 
-    ``keys_from`` names a cheaper table with the same rows per key to look in.
+    ``keys_from`` names a cheaper table with the same rows per key to look in, or one whose hot keys are known.
     """
     keys = list(keys)
     df = not_null_keys(df, keys)
-    hot = hot_keys(df if keys_from is None else keys_from, keys, hot_rows)
-    found = hot.limit(BROADCAST_KEYS + 1).count()
+    if isinstance(keys_from, Clustered):
+        hot, found = keys_from.hot, keys_from.n_hot
+    else:
+        hot = hot_keys(df if keys_from is None else keys_from, keys, hot_rows)
+        found = hot.limit(BROADCAST_KEYS + 1).count()
     if not found:
-        return Clustered(tuple(keys), df, None)
+        return Clustered(tuple(keys), df, None, hot, found)
     if found > BROADCAST_KEYS:
         marked = join_back(df, hot.withColumn("_hot", F.lit(True)), keys, ABOUT, hot_rows)
         usual, frequent = marked.where(F.col("_hot").isNull()), marked.where(F.col("_hot"))
-        return Clustered(tuple(keys), usual.drop("_hot"), frequent.drop("_hot"))
-    hot = F.broadcast(hot.drop(ABOUT))
-    return Clustered(tuple(keys), df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi"))
+        return Clustered(tuple(keys), usual.drop("_hot"), frequent.drop("_hot"), hot, found)
+    short = F.broadcast(hot.drop(ABOUT))
+    return Clustered(tuple(keys), df.join(short, keys, "left_anti"), df.join(short, keys, "left_semi"), hot, found)
 
 
-def cluster(
-    df: DataFrame, keys: Sequence[str], name: str, hot_rows: int = HOT_ROWS, keys_from: DataFrame | None = None
-) -> Clustered:
+def cluster(df: DataFrame | Clustered, keys: Sequence[str], name: str, hot_rows: int = HOT_ROWS) -> Clustered:
     """Rows written once in buckets of their key for several aggregates; rows of hot keys are written as they are."""
-    parted = split_hot(df, keys, hot_rows, keys_from)
+    parted = df if isinstance(df, Clustered) else split_hot(df, keys, hot_rows)
     frequent = None if parted.frequent is None else stage(parted.frequent, f"{name}_hot")
-    return Clustered(parted.keys, stage_buckets(parted.usual, name, keys), frequent, stored=True)
+    return replace(parted, usual=stage_buckets(parted.usual, name, keys), frequent=frequent, stored=True)
 
 
 def by_key(
@@ -106,7 +109,7 @@ def by_key(
     keys: Sequence[str],
     build: Callable[[DataFrame], DataFrame],
     hot_rows: int = HOT_ROWS,
-    keys_from: DataFrame | None = None,
+    keys_from: DataFrame | Clustered | None = None,
     build_hot: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Apply a per-key aggregation to rows clustered by key, hot keys apart.
@@ -115,7 +118,10 @@ def by_key(
     through ``build_hot`` (by default ``build``) without clustering, so that Spark combines them
     before the shuffle. ``df`` may be parted or clustered already, by these keys or by the first of them.
     """
-    parted = df if isinstance(df, Clustered) else split_hot(df, keys, hot_rows, keys_from)
+    if isinstance(df, Clustered):
+        parted = df.select(lambda rows: not_null_keys(rows, keys))
+    else:
+        parted = split_hot(df, keys, hot_rows, keys_from)
     usual = parted.usual if parted.stored else parted.usual.repartition(*[field(k) for k in parted.keys])
     if parted.frequent is None:
         return build(usual)

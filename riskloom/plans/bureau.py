@@ -16,6 +16,7 @@ from riskloom.operators.pivot import first_occurrence_columns, pivot_columns
 from riskloom.operators.recipe import (
     cross_specs, distinct_counts, recipe_agg, recipe_columns,
 )
+from riskloom.operators.skew import Clustered, split_hot
 
 APPLICANT = "SK_ID_CURR"
 CREDIT = "SK_ID_BUREAU"
@@ -130,9 +131,10 @@ def _values_present(category: str, values: Iterable[str]) -> Column:
     return sum(marks[1:], marks[0]).cast("long")
 
 
-def bureau_features(bureau: DataFrame) -> DataFrame:
+def bureau_features(bureau: DataFrame | Clustered) -> DataFrame:
     """One row per applicant: credit counts by category, sums and the recipe statistics."""
-    credits = credit_rows(bureau)
+    parted = bureau if isinstance(bureau, Clustered) else split_hot(bureau, [APPLICANT])
+    credits = parted.select(credit_rows)
     ends = field("DAYS_CREDIT_ENDDATE")
 
     def by_status(template: str) -> dict[str, str]:
@@ -159,10 +161,8 @@ def bureau_features(bureau: DataFrame) -> DataFrame:
         _values_present("CREDIT_TYPE", CREDIT_TYPES).alias("bur_num_credit_types"),
         _values_present("CREDIT_CURRENCY", CURRENCIES).alias("bur_num_currency_types"),
     ]
-    wide = recipe_agg(
-        credits, [APPLICANT], extra=[*diversity, *counts, *sums, *recipe], keys_from=bureau
-    )
-    return attach(wide, distinct_counts(bureau, [APPLICANT], CREDIT, {"bur_num_credits": None}), on=[APPLICANT])
+    wide = recipe_agg(credits, [APPLICANT], extra=[*diversity, *counts, *sums, *recipe])
+    return attach(wide, distinct_counts(parted if parted.stored else parted.rows, [APPLICANT], CREDIT, {"bur_num_credits": None}), on=[APPLICANT])
 
 
 def with_income_ratios(applicants: DataFrame) -> DataFrame:
@@ -192,10 +192,11 @@ def balance_per_credit(balance: DataFrame) -> DataFrame:
     return recipe_agg(known, [CREDIT], extra=[*months, different, *firsts])
 
 
-def bureau_balance_features(bureau: DataFrame, balance: DataFrame) -> DataFrame:
-    """One row per applicant: statistics of the monthly features over the applicant's credits."""
+def bureau_balance_features(bureau: DataFrame, balance: DataFrame, owners_parted: Clustered | None = None) -> DataFrame:
+    """One row per applicant: statistics of the monthly features over the applicant's credits. ``owners_parted`` knows the
+    hot applicants of the credits."""
     per_credit = balance_per_credit(balance)
     columns = [c for c in per_credit.columns if c != CREDIT]
     owners = bureau.select(APPLICANT, CREDIT)
     joined = owners.join(per_credit, CREDIT, "left")
-    return recipe_agg(joined, [APPLICANT], cross_specs(columns), keys_from=bureau)
+    return recipe_agg(joined, [APPLICANT], cross_specs(columns), keys_from=owners_parted or bureau)

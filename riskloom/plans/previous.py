@@ -13,6 +13,7 @@ from riskloom.operators.joins import attach
 from riskloom.operators.latest import latest_one
 from riskloom.operators.pivot import pivot_columns
 from riskloom.operators.recipe import cross_specs, distinct_counts, recipe_agg, recipe_columns
+from riskloom.operators.skew import Clustered, split_hot
 
 APPLICANT = "SK_ID_CURR"
 LOAN = "SK_ID_PREV"
@@ -117,9 +118,10 @@ def loan_rows(previous: DataFrame, null_product: int = 0) -> DataFrame:
     )
 
 
-def previous_features(previous: DataFrame, null_product: int = 0) -> DataFrame:
+def previous_features(previous: DataFrame | Clustered, null_product: int = 0) -> DataFrame:
     """One row per applicant: counts, flag sums, statistics and the latest application."""
-    loans = loan_rows(previous, null_product)
+    parted = previous if isinstance(previous, Clustered) else split_hot(previous, [APPLICANT])
+    loans = parted.select(lambda rows: loan_rows(rows, null_product))
     counts = [
         column
         for category, names in CATEGORY_COUNTS.items()
@@ -129,7 +131,7 @@ def previous_features(previous: DataFrame, null_product: int = 0) -> DataFrame:
     recipe = recipe_columns(cross_specs(RECIPE_COLUMNS), PREFIX + "{keys}_{fn}_{col}", [APPLICANT])
     wide = recipe_agg(loans, [APPLICANT], extra=[*sums, *counts, *recipe])
     distinct = distinct_counts(
-        previous,
+        parted if parted.stored else parted.rows,
         [APPLICANT],
         LOAN,
         {
@@ -138,7 +140,7 @@ def previous_features(previous: DataFrame, null_product: int = 0) -> DataFrame:
             "prev_num_firstdue_future": field("DAYS_FIRST_DUE") > 0,
         },
     )
-    newest = latest_one(loans, [APPLICANT], "DAYS_DECISION", LATEST, tie_break=[LOAN])
+    newest = latest_one(loans.rows, [APPLICANT], "DAYS_DECISION", LATEST, tie_break=[LOAN])
     return attach(wide, distinct, newest, on=[APPLICANT])
 
 

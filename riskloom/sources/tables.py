@@ -115,19 +115,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return write_stage(df, stage_path(df.sparkSession, name))
 
 
-def stage_buckets(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+def stage_buckets(df: DataFrame, name: str, keys: Sequence[str], dealt: bool = False) -> DataFrame:
     """Write a stage table in as many buckets of its keys as a shuffle has partitions, and return it re-read.
 
     Joins and aggregates by these keys, or by these and more, read it without a shuffle. The table lies under a path of
-    the shared folder; the session's catalogue only knows its buckets.
+    the shared folder; the session's catalogue only knows its buckets. Rows that a shuffle by these keys has just ``dealt``
+    lie in tasks of whole buckets already.
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = stage_path(spark, name)
     known_as = f"riskloom_{path.split('/')[-2]}"
     # Dealt like the buckets, so that a bucket is one file.
-    dealt = df.repartition(buckets, *[field(k) for k in keys])
-    dealt.write.bucketBy(buckets, *keys).option("path", path).saveAsTable(known_as)
+    rows = df if dealt else df.repartition(buckets, *[field(k) for k in keys])
+    rows.write.bucketBy(buckets, *keys).option("path", path).saveAsTable(known_as)
     return spark.table(known_as).select(*[field(c) for c in df.columns])
 
 
