@@ -44,11 +44,20 @@ def quantiles_across_tasks(
     """The same result for a few keys of any size, without a group's values in one task."""
     keys = list(keys)
     df = df.select(*[field(k) for k in keys], *[field(c).cast("double").alias(c) for c in columns])
-    spark = df.sparkSession
     cells = F.array(*[F.struct(F.lit(c).alias("_col"), field(c).alias("_v")) for c in columns])
     long = df.select(*keys, F.inline(cells)).where(F.col("_v").isNotNull())
+    values = long.groupBy(*keys, "_col", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # A key whose values are all NULL has no ranks, but still has a row.
+    return df.select(*keys).distinct().join(quantiles_of_counts(values, keys, columns, probs), keys, "left")
+
+
+def quantiles_of_counts(values: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles from a table of values: keys, _col (one of ``columns``), _v (not NULL) and _n, how often it occurs.
+
+    One row per key with any value; each column an array, or NULL without values.
+    """
+    keys, spark = list(keys), values.sparkSession
     group = [*keys, "_col"]
-    values = long.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Written out so that every later step sees the same split, even if a task is rerun.
     path = stage_path(spark, "ranged")
@@ -101,5 +110,4 @@ def quantiles_across_tasks(
     for c in columns:
         found_values = F.array(*[quantile(c, i, p) for i, p in enumerate(probs)])
         arrays.append(F.when(found_values[0].isNotNull(), found_values).alias(c))
-    # A key whose values are all NULL has no ranks, but still has a row.
-    return df.select(*keys).distinct().join(found.groupBy(*keys).agg(*arrays), keys, "left")
+    return found.groupBy(*keys).agg(*arrays)

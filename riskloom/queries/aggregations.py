@@ -134,6 +134,37 @@ def group_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customer_statistics(wide).withColumns({c: stable(c) for c in gaps})
 
 
+_MEDIANS = (
+    Recipe(("segment", "c_nationkey"), (("c_acctbal", "median"), ("c_acctbal", "count"))),
+    Recipe(("segment",), (("c_acctbal", "median"), ("c_custkey", "median"), ("c_acctbal", "max"))),
+    Recipe(("c_nationkey",), (("c_acctbal", "median"),)),
+)
+
+
+def _median_sql() -> str:
+    tables, joins, columns = [], [], []
+    for i, recipe in enumerate(_MEDIANS):
+        keys = ", ".join(recipe.keys)
+        complete = " AND ".join(f"{k} IS NOT NULL" for k in recipe.keys)
+        values = ", ".join(f"{fn}({c}) AS {out}" for c, fn, out in recipe.outputs)
+        tables.append(f"g{i} AS (SELECT {keys}, {values} FROM c WHERE {complete} GROUP BY {keys})")
+        joins.append(f"LEFT JOIN g{i} USING ({keys})")
+        for c, fn, out in recipe.outputs:
+            columns.append(f"{S(out)} AS {out}" if fn == "median" else out)
+            if fn != "count":
+                columns += [f"{S(f'{c} - {out}')} AS {out}_diff", f"{S(f'abs({c} - {out})')} AS {out}_abs_diff"]
+    return f"""WITH {_CUSTOMERS_SQL}, {", ".join(tables)}
+    SELECT c_custkey, segment, c_nationkey, c_acctbal, {", ".join(columns)} FROM c {" ".join(joins)}"""
+
+
+@query(_median_sql())
+def group_median_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of three groupings from one count of values, and the distance of each row from them."""
+    customers = _segmented_customers(spark, sf_dir)
+    wide = GroupStats.fit(customers, _MEDIANS).transform(customers)
+    return wide.withColumns({c: stable(c) for c in wide.columns if "median" in c or c.endswith("_diff")})
+
+
 @query(
     f"""WITH {_CUSTOMERS_SQL}, t AS (SELECT * FROM c WHERE c_custkey % 5 <> 0),
     {_group_stats_sql('t')}, CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM j"""

@@ -168,8 +168,29 @@ def test_group_statistics_come_from_train_only(spark, limit):
 
 
 def test_group_statistics_reject_functions_that_do_not_roll_up(spark):
-    with pytest.raises(ValueError, match="median"):
-        GroupStats.fit(spark.createDataFrame([("x", 1.0)], "a string, v double"), [Recipe(("a",), (("v", "median"),))])
+    with pytest.raises(ValueError, match="nunique"):
+        GroupStats.fit(spark.createDataFrame([("x", 1.0)], "a string, v double"), [Recipe(("a",), (("v", "nunique"),))])
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_medians_are_rolled_up_from_counts_of_values(spark, limit):
+    rng = np.random.default_rng(9)
+    n = 3000
+    pdf = pd.DataFrame({"a": rng.choice(list("xyz") + [None], n), "b": rng.integers(0, 5, n), "v": rng.integers(0, 9, n) / 2, "w": rng.normal(size=n)})
+    pdf.loc[rng.random(n) < 0.2, "v"] = np.nan
+    pdf.loc[(pdf.a == "z") & (pdf.b == 4), "v"] = np.nan  # a group without values
+    data = [(r.a, int(r.b), None if np.isnan(r.v) else r.v, r.w) for r in pdf.itertuples()]
+    df = spark.createDataFrame(data, "a string, b int, v double, w double")
+    recipes = [Recipe(("a", "b"), (("v", "median"), ("v", "mean"))), Recipe(("a",), (("v", "median"), ("w", "median"))), Recipe(("b",), (("w", "median"),))]
+    got = GroupStats.fit(df, recipes, broadcast_rows=limit).transform(df).toPandas()
+    assert len(got) == n
+    for r in recipes:
+        for c in r.medians:
+            name = r.output(c, "median")
+            wanted = pdf.groupby(list(r.keys))[c].median().rename("wanted").reset_index()
+            both = got.merge(wanted, on=list(r.keys), how="left")
+            np.testing.assert_allclose(both[name].astype(float), both["wanted"].astype(float), rtol=1e-12)
+            np.testing.assert_allclose(both[f"{name}_diff"].astype(float), (both[c] - both["wanted"]).astype(float), atol=1e-12)
 
 
 def test_pivot_emits_every_category(spark):
