@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,4 +70,39 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, never reused between runs."""
-    return f"{shared_dir(spark).rstrip('/')}/riskloom-stage/{uuid.uuid4().hex}/{name}"
+    scope = f"{_scopes[-1]}/" if _scopes else ""
+    return f"{shared_dir(spark).rstrip('/')}/riskloom-stage/{scope}{uuid.uuid4().hex}/{name}"
+
+
+_scopes: list[str] = []
+
+
+@contextmanager
+def stages_removed(spark: SparkSession) -> Iterator[None]:
+    """Stage tables written inside the block are removed when it ends, with or without an error.
+
+    What the block returns must not read them: write the result first.
+    """
+    _scopes.append(uuid.uuid4().hex)
+    folder = f"{shared_dir(spark).rstrip('/')}/riskloom-stage/{_scopes[-1]}"
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        remove(spark, folder)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own, if it is there."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)

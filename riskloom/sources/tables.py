@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,14 +123,35 @@ def stage_buckets(df: DataFrame, name: str, keys: Sequence[str], dealt: bool = F
     the shared folder; the session's catalogue only knows its buckets. Rows that a shuffle by these keys has just ``dealt``
     lie in tasks of whole buckets already.
     """
+    spark, path = df.sparkSession, stage_path(df.sparkSession, name)
+    buckets = write_buckets(df, path, keys, dealt)
+    return register_buckets(spark, path, df.schema, keys, buckets).select(*[field(c) for c in df.columns])
+
+
+def write_buckets(df: DataFrame, path: str, keys: Sequence[str], dealt: bool = False) -> int:
+    """Parquet in buckets at a path; returns their number."""
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = stage_path(spark, name)
-    known_as = f"riskloom_{path.split('/')[-2]}"
     # Dealt like the buckets, so that a bucket is one file.
     rows = df if dealt else df.repartition(buckets, *[field(k) for k in keys])
-    rows.write.bucketBy(buckets, *keys).option("path", path).saveAsTable(known_as)
-    return spark.table(known_as).select(*[field(c) for c in df.columns])
+    known_as = f"riskloom_{uuid.uuid4().hex}"
+    rows.write.mode("overwrite").bucketBy(buckets, *keys).option("path", path).saveAsTable(known_as)
+    spark.sql(f"DROP TABLE {known_as}")  # the files of an external table stay
+    return buckets
+
+
+def register_buckets(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], buckets: int) -> DataFrame:
+    """A bucketed table that lies at a path, as the session's catalogue has to know it."""
+    known_as = f"riskloom_{uuid.uuid4().hex}"
+
+    def quoted(name: str) -> str:
+        return f"`{name.replace('`', '``')}`"
+
+    columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+    by = ", ".join(quoted(k) for k in keys)
+    where = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {known_as} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{where}'")
+    return spark.table(known_as)
 
 
 def normalise_nan(df: DataFrame) -> DataFrame:

@@ -1,13 +1,18 @@
 """The build as a whole: what is shared between the feature tables."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators import skew
 from riskloom.operators.joins import attach
 from riskloom.plans import assemble
 from riskloom.queries.credit_tables import credit_tables
-from riskloom.sources.tables import stage_buckets
+from riskloom.session import shared_dir
+from riskloom.sources.manifest import Manifest, fingerprint_of_files
+from riskloom.sources.tables import stage_buckets, write_csv
 
 
 @pytest.fixture
@@ -37,7 +42,7 @@ def test_children_share_searches_and_clusterings(spark, sf_dir, monkeypatch, no_
     search = skew.hot_keys
     monkeypatch.setattr(skew, "hot_keys", lambda df, keys, *a: searched.append(tuple(keys)) or search(df, keys, *a))
     tables = credit_tables(spark, sf_dir)
-    children = assemble.child_features(tables, stored=True)
+    children = {name: make() for name, make in assemble.child_features(tables, stored=True).items()}
     assert searched == [("SK_ID_CURR",)] * 4  # credits, applications, payments, card balances
     for name in ("payments", "last_k"):
         assert "Exchange" not in plan_of(children[name]), name
@@ -66,3 +71,41 @@ def test_the_wide_table_joins_without_a_shuffle(spark, sf_dir, no_broadcast):
     wide = assemble.wide_table(credit_tables(spark, sf_dir), stage_children=True)
     plan = plan_of(wide)
     assert plan.count("SortMergeJoin") == 8 and "Exchange" not in plan
+
+
+def test_a_build_goes_on_and_leaves_nothing(spark, sf_dir, tmp_path, monkeypatch):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    for name, df in credit_tables(spark, sf_dir).items():
+        write_csv(df, str(folder / f"{name}.csv"))
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    files = lambda: {p for part in ("riskloom-build", "riskloom-stage") for p in (shared / part).rglob("*.parquet") if p.is_file()}
+    before = files()
+    manifests = []
+    monkeypatch.setattr(assemble, "Manifest", lambda *a: manifests.append(Manifest(*a)) or manifests[-1])
+
+    def dies(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(assemble, "card_features", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            assemble.build(spark, str(folder), str(out))
+    assert len(manifests[0].made) == 16 and not manifests[0].found  # the sources and seven children; the eighth died
+    wide = assemble.build(spark, str(folder), str(out))
+    assert set(manifests[1].found) == set(manifests[0].made) - {"credit_card_balance_features"}
+    assert set(manifests[1].made) == {"credit_card_balance_features", "applicants_features"}
+    assert files() == before
+    plain = assemble.wide_table(assemble.load_sources(spark, str(folder)))
+    assert wide.count() == plain.count() and set(wide.columns) == set(plain.columns)
+    sums = [F.sum(F.col(c).cast("double")) for c in ("bur_num_credits", "preapps_num_credits", "credit_card_number_of_loans")]
+    assert wide.agg(*sums).first() == plain.agg(*sums).first()
+
+
+def test_fingerprints_follow_the_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x")
+    first = fingerprint_of_files(spark, str(tmp_path))
+    assert fingerprint_of_files(spark, str(tmp_path)) == first
+    (tmp_path / "a.csv").write_text("xy")
+    second = fingerprint_of_files(spark, str(tmp_path))
+    (tmp_path / "b.csv").write_text("z")
+    assert len({first, second, fingerprint_of_files(spark, str(tmp_path))}) == 3
