@@ -14,6 +14,7 @@ from riskloom.llm._vectors import is_usable, matrix, sample_matrix
 
 SAMPLE = 16_384
 MOST_LISTS = 4096
+FIRST = 8  # nearest lists of a query, whose scores rule out most vectors of the others
 READ_SHARE = 8  # a query reads one list of so many at least: a fixed number would lose recall as the lists grow in number
 
 
@@ -187,7 +188,11 @@ def _scan(
     stored: DataFrame, asked: DataFrame, graph: CentroidGraph, largest: float, keep: int,
     replicas: int, probes: int, ratio: float, block_rows: int,
 ) -> DataFrame:
-    """(_query, _rep, _ids, score): the ``keep`` best vectors of each pair of a list block and a query block."""
+    """(_query, _rep, _ids, score): candidates of each query from its lists, the ``keep`` best among them.
+
+    The nearest FIRST lists of a query give the score that a candidate of its other lists has to reach, so those send the
+    few that do, however many lists are read.
+    """
 
     def listed(rows: DataFrame, most: int, within: float, stores: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +205,7 @@ def _scan(
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*part.schema.names, "_lists"])
 
         spread = rows.mapInArrow(run, rows.selectExpr("*", "array(0) AS _lists").schema)
-        return staged(spread.select(*[c for c in rows.columns if c != "_size"], F.explode("_lists").alias("_list")), "lists")
+        return staged(spread.select(*[c for c in rows.columns if c != "_size"], F.posexplode("_lists").alias("_place", "_list")), "lists")
 
     def blocks(rows: DataFrame, key: str, columns: list[str], out: str) -> tuple[DataFrame, DataFrame]:
         # One count per list: MOST_LISTS rows at most, so they are broadcast.
@@ -211,30 +216,34 @@ def _scan(
         return sizes, cut.groupBy("_list", f"_{out}").agg(F.collect_list("m").alias(out))
 
     list_sizes, list_blocks = blocks(listed(stored, replicas, ratio, True), "_rep", ["_rep", "_ids", "_vector"], "a")
-    query_sizes, query_blocks = blocks(listed(asked, probes, 0.0, False), "_query", ["_query", "_vector"], "b")
-    pairs = list_sizes.join(F.broadcast(query_sizes), "_list").select(
-        "_list", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)).alias("_a"), "_nb"
-    ).select("_list", "_a", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_b"))
-    met = pairs.join(list_blocks, ["_list", "_a"]).join(query_blocks, ["_list", "_b"]).select("a", "b")
+    reads = listed(asked, probes, 0.0, False)
+
+    def met(queries: DataFrame) -> DataFrame:
+        query_sizes, query_blocks = blocks(queries, "_query", ["_query", "_vector", "_least"], "b")
+        pairs = list_sizes.join(F.broadcast(query_sizes), "_list").select(
+            "_list", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)).alias("_a"), "_nb"
+        ).select("_list", "_a", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_b"))
+        both = pairs.join(list_blocks, ["_list", "_a"]).join(query_blocks, ["_list", "_b"]).select("a", "b")
+        return both.mapInArrow(run, "_query long, _rep long, _ids array<long>, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
                 a, b = a.values, b.values
                 x, q = matrix(a.field("_vector")), matrix(b.field("_vector"))
-                reps = a.field("_rep").to_numpy()
+                reps, least = a.field("_rep").to_numpy(), b.field("_least").to_numpy()
                 order = np.argsort(reps)
                 x, reps = x[order], reps[order]
                 # One way of adding up for each pair of vectors, whatever block it is in.
                 scores = q @ x.T
                 n = min(keep, len(reps))
-                edge = np.partition(scores, len(reps) - n, axis=1)[:, len(reps) - n]
+                edge = np.maximum(np.partition(scores, len(reps) - n, axis=1)[:, len(reps) - n], least)
                 at, hit = np.nonzero(scores >= edge[:, None] - 1e-9)
                 exact = np.einsum("nd,nd->n", q[at], x[hit])
                 rank = np.lexsort((reps[hit], -exact, at))
                 at, hit, exact = at[rank], hit[rank], exact[rank]
                 first = np.searchsorted(at, np.arange(len(q)))
-                kept = np.arange(len(at)) - first[at] < n
+                kept = (np.arange(len(at)) - first[at] < n) & (exact >= least[at])
                 at, hit, exact = at[kept], hit[kept], exact[kept]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(b.field("_query").to_numpy()[at], pa.int64()), pa.array(reps[hit], pa.int64()),
@@ -242,4 +251,13 @@ def _scan(
                     names=["_query", "_rep", "_ids", "score"],
                 )
 
-    return met.mapInArrow(run, "_query long, _rep long, _ids array<long>, score double")
+    unbounded = F.lit(float("-inf")).alias("_least")
+    near = staged(met(reads.where(F.col("_place") < FIRST).select("*", unbounded)), "near-candidates")
+    place = Window.partitionBy("_query").orderBy(F.desc("score"), "_rep")
+    # A vector may be in several lists: distinct ones count. With fewer than ``keep`` nothing is ruled out.
+    ranked = near.groupBy("_query", "_rep").agg(F.max("score").alias("score")).withColumn("_n", F.row_number().over(place))
+    least = ranked.where(F.col("_n") == keep).select("_query", F.col("score").alias("_bound"))
+    rest = reads.where(F.col("_place") >= FIRST).join(least, "_query", "left")
+    bound = F.coalesce("_bound", F.lit(float("-inf"))).alias("_least")
+    far = met(rest.select(*reads.columns, bound))
+    return near.unionByName(far)
