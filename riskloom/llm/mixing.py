@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from riskloom.llm._common import WORD, running_total, staged
 
-# Blocks of all sources together, about 50 MB as arrays: the bound of what is broadcast.
+# Blocks of all sources together, about 80 MB as arrays: the bound of what is broadcast.
 MOST_BLOCKS = 1 << 21
 _SHIFT = 8
+_PLACES = 1 << 40
 
 
 def _log_factorial(n: Column) -> Column:
@@ -129,7 +130,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], ratio: float, cap: float
     )
 
 
-def schedule(sources: DataFrame, blocks: int, shards: int, seed: int) -> DataFrame:
+def schedule(sources: DataFrame, blocks: int, shards: int, seed: int, tree_seed: int) -> DataFrame:
     """Drawn blocks: source, length (words of a block), block, epoch, shard, position in the shard.
 
     The words of each source, its documents in order of a hash, are cut into at most ``blocks`` blocks.
@@ -145,7 +146,7 @@ def schedule(sources: DataFrame, blocks: int, shards: int, seed: int) -> DataFra
     in_order = F.sort_array(F.collect_list(F.struct("rank", "quota")))
     root = sized.agg(F.transform(in_order, lambda x: x["quota"]).alias("quotas"), F.sort_array(F.collect_list("rank")).alias("ranks"))
     ranks = root.select("ranks")
-    leaves = shard_quotas(root.select(F.lit(1).cast("long").alias("node"), "quotas"), shards, seed)
+    leaves = shard_quotas(root.select(F.lit(1).cast("long").alias("node"), "quotas"), shards, tree_seed)
     dealt = leaves.crossJoin(F.broadcast(ranks)).select(
         "node", F.posexplode(F.arrays_zip("ranks", "quotas")).alias("_i", "z")
     ).select("node", F.col("z.ranks").alias("rank"), F.col("z.quotas").alias("quota"))
@@ -179,12 +180,14 @@ def mix(
     shards: int = 16,
     seed: int = 42,
     carry: tuple[str, ...] = (),
+    tree_seed: int | None = None,
 ) -> DataFrame:
     """ident, source, the ``carry`` columns, size, source_size, target, taken (words) and kept (pieces).
 
-    kept is an array of structs (first, last, times): words of the document, both ends included, and how
-    often the mix takes them, one for each block that the document meets; times is at most ``cap``
-    rounded up. taken sums it. Each source's taken words differ from its target by one block at most, a
+    kept is an array of structs (first, last, times, places): words of the document, both ends included, how
+    often the mix takes them, one for each block that the document meets, and the shard and position in it of each time;
+    times is at most ``cap`` rounded up. taken sums it. How many blocks of a source each shard gets is what the splitting tree
+    draws (by ``tree_seed``, else ``seed``): another tree deals the same blocks to other shards. Each source's taken words differ from its target by one block at most, a
     block being a ``blocks``-th of the source. Words are runs without ASCII white space; a null or empty
     text has none and is taken 0 times; a null source is a source of its own, last in order. Repeated
     rows are documents of their own. The order depends on the ident and the text alone, so reruns agree.
@@ -202,20 +205,22 @@ def mix(
     sizes = light.groupBy(F.col("_src").alias("source")).agg(F.sum("_size").alias("source_size"))
     per_source = staged(targets(sizes, weights, ratio, cap), "targets")
     each = max(1, min(blocks, MOST_BLOCKS // max(1, per_source.count())))
-    drawn = schedule(per_source, each, shards, seed)
-    times = drawn.groupBy("rank", "length", "block").agg(F.count("*").alias("times"))
-    found = times.groupBy("rank", "length").agg(
-        F.map_from_entries(F.collect_list(F.struct("block", "times"))).alias("found")
+    drawn = schedule(per_source, each, shards, seed, seed if tree_seed is None else tree_seed)
+    # Shard and position in one number, to keep the broadcast table small.
+    place = F.col("shard") * F.lit(_PLACES) + F.col("position")
+    places = drawn.groupBy("rank", "length", "block").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    found = places.groupBy("rank", "length").agg(
+        F.map_from_entries(F.collect_list(F.struct("block", "places"))).alias("found")
     )
     number = F.ceil(F.col("source_size") / F.col("length")).cast("long")
     listed = F.transform(
         F.sequence(F.lit(0).cast("long"), number - 1),
-        lambda b: F.coalesce(F.element_at("found", b), F.lit(0).cast("long")),
+        lambda b: F.coalesce(F.element_at("found", b), F.array().cast("array<long>")),
     )
     table = per_source.join(found, "rank", "left").select(
         F.col("source").alias("_of"), "source_size", "target",
         F.coalesce("length", F.lit(1).cast("long")).alias("_length"),
-        F.when(F.col("length").isNotNull(), listed).alias("_times"),
+        F.when(F.col("length").isNotNull(), listed).alias("_places"),
     )
     table = staged(table, "drawn-blocks")
     started = running_total(light, "_src", ["_h", "_size"], "_size", "_start")
@@ -226,10 +231,20 @@ def mix(
         lambda b: F.struct(
             (F.greatest(first, b * F.col("_length")) - first).alias("first"),
             (F.least(last, (b + 1) * F.col("_length") - 1) - first).alias("last"),
-            F.coalesce(F.get("_times", b.cast("int")), F.lit(0).cast("long")).alias("times"),
+            F.coalesce(F.get("_places", b.cast("int")), F.array().cast("array<long>")).alias("places"),
         ),
     )
-    kind = "array<struct<first:bigint,last:bigint,times:bigint>>"
+    met = F.transform(
+        met,
+        lambda k: F.struct(
+            k["first"], k["last"], F.size(k["places"]).cast("long").alias("times"),
+            F.transform(
+                k["places"],
+                lambda p: F.struct(F.floor(p / _PLACES).cast("int").alias("shard"), F.pmod(p, F.lit(_PLACES)).alias("position")),
+            ).alias("places"),
+        ),
+    )
+    kind = "array<struct<first:bigint,last:bigint,times:bigint,places:array<struct<shard:int,position:bigint>>>>"
     kept = F.when(F.col("_size") > 0, met).otherwise(F.array()).cast(kind)
     taken = F.aggregate("kept", F.lit(0).cast("long"), lambda a, k: a + (k["last"] - k["first"] + 1) * k["times"])
     return joined.withColumn("kept", kept).select(

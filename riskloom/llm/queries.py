@@ -46,7 +46,9 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("kept")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    shards = F.flatten(F.transform("kept", lambda k: F.transform(k["places"], lambda p: p["shard"])))
+    return mixed.withColumn("shards", F.array_join(F.array_sort(F.array_distinct(shards)).cast("array<string>"), ",")).drop("kept")
 
 
 @query

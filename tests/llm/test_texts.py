@@ -181,6 +181,28 @@ def test_cached_units_give_the_tokenizers_ids():
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [encode.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_the_tree_deals_the_blocks(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    mixes = [{r.doc_id: r for r in mixing.mix(docs, blocks=64, tree_seed=t).collect()} for t in (1, 1, 2)]
+    assert mixes[0] == mixes[1]
+    assert {i: r.taken for i, r in mixes[0].items()} == {i: r.taken for i, r in mixes[2].items()}
+    places = [{(i, k.first, p.shard, p.position) for i, r in m.items() for k in r.kept for p in k.places} for m in mixes]
+    moved = places[0] - places[2]
+    assert len(moved) > 0.1 * len(places[0])
+    for m in mixes:
+        # A block is one stretch of words of its source: its place is the same in every document that it meets.
+        by_place = {}
+        for r in m.values():
+            for k in r.kept:
+                assert k.times == len(k.places)
+                for p in k.places:
+                    by_place.setdefault((p.shard, p.position), set()).add(r.source)
+        assert all(len(sources) == 1 for sources in by_place.values())
+        sizes = [sum(1 for s, _ in by_place if s == shard) for shard in range(16)]
+        assert max(sizes) - min(sizes) <= 1
+        assert all({p for s, p in by_place if s == shard} == set(range(sizes[shard])) for shard in range(16))
+
+
 def test_mixing_meets_its_targets(spark, odd, none):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = mixing.mix(docs).collect()
