@@ -25,7 +25,7 @@ def test_run(spark, sf_dir):
     pieces = corpus_pipeline.run(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert pieces.count() > 0 and pieces.select("doc_id").join(docs, "doc_id", "left_anti").isEmpty()
-    assert len([q for q in QUERIES if q.startswith("op")]) == 10 and set(ORACLES) <= set(QUERIES)
+    assert len([q for q in QUERIES if q.startswith("op")]) == 13 and set(ORACLES) <= set(QUERIES)
 
 
 def near_copies(spark):
