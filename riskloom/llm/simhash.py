@@ -98,9 +98,11 @@ def near_duplicate_components(
     so no pair within the radius is missed. Buckets are compared in blocks and give only the links
     that connect their members. Null texts count as empty; texts without a word have fingerprint 0
     and link like others; rows with a null ident get their group's component and do not name one;
-    repeated rows come back each; an empty table gives an empty result.
+    repeated rows come back each; an empty table gives an empty result. An ident may be a struct, which is
+    compared field by field; of other kinds it is taken as a long.
     """
-    plain = docs.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text"))
+    key = F.col(ident) if isinstance(docs.schema[ident].dataType, StructType) else F.col(ident).cast("long")
+    plain = docs.select(key.alias("_id"), F.col(text).alias("_text"))
     marked = staged(with_fingerprint(plain, "_text", size).select("_id", "_fp"), "fingerprints")
     nodes = staged(marked.groupBy("_fp").agg(F.min("_id").alias("_least")), "distinct-fingerprints")
     masks = F.array(*[F.struct(F.lit(k).alias("t"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(covering_masks(radius))])
