@@ -7,15 +7,18 @@ long texts, repeated rows and further columns; an empty table gives an empty res
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import jaccard, langid, mixing, packing, pii
+from riskloom.llm import langid, mixing, packing, pii, simhash
 from riskloom.llm._common import staged, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
+SHINGLE_WORDS = 3
+MOST_BITS = 3
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -35,16 +38,17 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest doc_id; repeated rows come once.
 
-    Documents link where 0.8 or more of their five-word shingles are common (Jaccard, compared exactly). Unlike texts
+    Documents link where the SimHash fingerprints of their three-word shingles differ in at most 3 bits. Unlike texts
     under one doc_id are documents of their own; those without a doc_id link like others and come last in their group.
     """
+    row = next(name for name in (f"_row{n}" for n in itertools.count()) if name not in docs.columns)
     others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"})
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), ident.alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(others).alias("rest"))
-    rows = docs.withColumn("_row", key)
-    parts = jaccard.near_copy_components(rows, "_row")
-    first = parts.where("_row = component_id").select("_row").distinct()
-    return rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+    rows = docs.withColumn(row, key)
+    parts = simhash.near_duplicate_components(rows, row, radius=MOST_BITS, size=SHINGLE_WORDS)
+    first = parts.where(F.col(row) == F.col("component_id")).select(row).distinct()
+    return rows.join(first, row, "left_semi").dropDuplicates([row]).select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
