@@ -16,9 +16,9 @@ from riskloom.llm._common import sliced
 _HAS_LETTER = re.compile(r"[^\W\d_]").search
 _LETTERS_ONLY = re.compile(r"[\W\d_]+").sub
 UNKNOWN = "und"
-# Texts up to this many bytes are also compressed with each quarter of the dictionaries, since the
+# The last bytes of every text are also compressed with each quarter of the dictionaries, since the
 # sizes of a few words under whole dictionaries are often equal.
-SHORT = 400
+TAIL = 256
 
 
 def plain(text: str) -> bytes:
@@ -86,9 +86,10 @@ class LanguageModel:
             if not self.languages or not text or not _HAS_LETTER(text):
                 return UNKNOWN, 0.0, 0.0, False
             data = plain(text)
-            sizes = sizer.sizes(data).astype(float)
-            if len(data) <= SHORT:
-                sizes = (sizes + sum(q.sizes(data) for q in quarters)) / 5
+            cut = max(0, len(data) - TAIL)
+            sizes = (sizer.sizes(data[cut:]) + sum(q.sizes(data[cut:]) for q in quarters)) / 5
+            if cut:
+                sizes = sizes + sizer.sizes(data[:cut])
             best = int(sizes.argmin())  # of equal sizes the more frequent language
             # Bytes over the best count as evidence, damped with the size, as they are not independent.
             weight = np.exp(-(sizes - sizes[best]) / (1.0 + 0.01 * sizes[best]))
@@ -146,8 +147,9 @@ def _agreeing(slices: dict[str, list[bytes]], margin: float = 0.01) -> dict[str,
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "") -> DataFrame:
     """All columns plus lang_pred, score, margin, accepted, each after ``prefix``.
 
-    The whole text is compressed in windows with every dictionary; the language with the smallest total
-    wins, ties going to the more frequent one. accepted is false where the next language's total is
+    The whole text is compressed in windows with every dictionary, its last ``TAIL`` bytes apart as the mean of
+    five sizes, one under the whole dictionary and one under each quarter; texts of all lengths go by this rule. The
+    language with the smallest total wins, ties going to the more frequent one. accepted is false where the next language's total is
     within ``min_margin`` of the best, and for ``und``: a null or empty text, one without a letter, or
     no learned language. score lies between 0 and 1. Repeated rows get equal values; an empty table gives
     none. Columns of the input with one of the four names are replaced.
