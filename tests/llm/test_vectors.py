@@ -85,6 +85,22 @@ def test_links_and_components_equal_brute_force(spark):
             assert got == expected
 
 
+def test_links_found_over_hundreds_of_cells(spark):
+    # Pairs just above the threshold in directions without clusters, in 400 cells of which a vector goes to 4.
+    rng = np.random.default_rng(11)
+    a, noise = rng.normal(0, 1, (2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(axis=1, keepdims=True) * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    b = 0.935 * a + np.sqrt(1 - 0.935**2) * noise
+    rows = [(2 * i + k, x.tolist(), 0) for i in range(4000) for k, x in enumerate((a[i], b[i]))]
+    schema = SCHEMA.replace("array<float>", "array<double>")
+    vectors = spark.createDataFrame(rows, schema).repartition(8)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(vectors, cell_rows=20).collect()}
+    # No other two of these vectors are as near, so every link found is one of the pairs.
+    assert set(got.values()) <= {0, 1} and sum(got.values()) >= 0.99 * 8000
+
+
 def test_vectors_that_take_no_part(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(BAD, SCHEMA)).collect()}
     assert all(v == (0, k, True) for k, v in got.items() if k is not None) and got[None] == (0, None, False) and len(got) == len(BAD)
