@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -260,6 +261,62 @@ def test_class_bits_are_a_distribution():
     assert (10**log10).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_words_after_a_word_are_a_distribution():
+    rng = np.random.default_rng(1)
+    words = np.unique(rng.integers(-(2**63), 2**63 - 1, 3000))
+    counts = rng.integers(1, 9, len(words))
+    is_hot = counts == 8
+    kin = lm_scoring.KinContexts(words, counts, is_hot, 8)
+    rare = np.nonzero(~is_hot)[0]
+    kin.learn(rng.choice(rare, 6000) << 32 | rng.integers(0, 5, 6000))
+    own = lm_scoring.kin_of(words.view(np.uint64), 8)
+    for k in (0, 100, 255):
+        members = np.nonzero((own == k) & ~is_hot)[0]
+        new = np.array([k << 56 | 12345], np.uint64).view(np.int64)
+        for tag in (1, 4, 99):  # 99: a word before that was never seen
+            each = np.append(words[members], new)
+            place = np.append(members, -1)
+            gain = kin.gains(each, place, np.full(len(each), tag, np.uint32))
+            plain = (np.append(counts[members], 0) + 0.1) / kin.mass[list(kin.kins).index(k)]
+            assert (plain * 10**gain).sum() == pytest.approx(1)
+            assert tag != 99 or not gain.any()
+
+
+def test_lm_pairs_equal_plain_counts(spark, sf_dir):
+    """With few hot words, scores differ from those without pairs by gains counted in plain dictionaries."""
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.unionByName(docs.where("doc_id % 9 = 0").withColumn("doc_id", F.col("doc_id") + 10**6))
+    rows = {r.doc_id: r for r in lm_scoring.score_texts(docs, training, hot_share=256).collect()}
+    plain = {r.doc_id: r for r in lm_scoring.score_texts(docs, training).collect()}  # all words are hot in a table this small
+    tokens = {r.doc_id: lm_scoring.token_hashes(r.text).tolist() for r in docs.collect()}
+    learned = {i for i in tokens if zlib.crc32(str(i).encode()) % 10}
+    count = Counter(w for i in learned for w in tokens[i])
+    total = sum(count.values())
+    hot = {w for w, c in count.items() if c * 256 >= total}
+    pairs = Counter((u, w) for i in learned for u, w in zip([1, *tokens[i][:-1]], tokens[i], strict=True) if w not in hot)
+    seen = {}
+    for (u, w), c in pairs.items():
+        n, k = seen.get((u, w >> 56), (0, 0))
+        seen[u, w >> 56] = n + c, k + 1
+    mass = {}
+    for w, c in count.items():
+        mass[w >> 56] = mass.get(w >> 56, 0.1) + (0 if w in hot else c + 0.1)
+    discount = []
+    for shard in range(12):
+        once, twice = (sum(c == t and (w >> 56) % 12 == shard for (_, w), c in pairs.items()) + 1 for t in (1, 2))
+        discount.append(once / (once + 2 * twice))
+    for i, words in tokens.items():
+        gain = 0.0
+        for u, w in zip([1, *words[:-1]], words, strict=True):
+            if w not in hot and (u, w >> 56) in seen:
+                n, k = seen[u, w >> 56]
+                d = discount[(w >> 56) % 12]
+                gain += np.log10(max(pairs[u, w] - d, 0) / n / ((count[w] + 0.1) / mass[w >> 56]) + d * k / n)
+        assert rows[i].score - plain[i].score == pytest.approx(gain, abs=1e-6)
+        assert rows[i].base_score == pytest.approx(plain[i].base_score) and rows[i].n_known == plain[i].n_known
+
+
 def test_sha_of_no_spans_is_that_of_nothing(spark, sf_dir):
     from riskloom.llm.queries import QUERIES
 
