@@ -253,6 +253,43 @@ def test_lm_counts_equal_plain_ones(spark, sf_dir, odd, none):
     assert lm_scoring.score_texts(none, F.lit(True)).isEmpty()
 
 
+def test_lm_learns_from_every_training_text(spark, sf_dir):
+    """The tables that score count all training texts, and the first weights are the best of all of them."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.col("text").alias("_text"))
+    counts = lm_scoring.word_counts(docs)
+    model = lm_scoring.fit(docs, counts, counts.agg(F.sum("c")).first()[0])
+    texts = [(r._key, lm_scoring.token_hashes(r._text)) for r in docs.collect()]
+
+    def context_rows(hashes):
+        return lm_scoring.contexts(hashes, model.rows, np.zeros(1, int))
+
+    def tables(texts):
+        leaves = np.zeros((2, model.rows, 256), int)
+        for hashes in texts:
+            for own, place in zip(leaves, context_rows(hashes), strict=True):
+                np.add.at(own, (place, lm_scoring.class_of(hashes)), 1)
+        return list(lm_scoring.node_logits(leaves).reshape(2, -1))
+
+    whole = model.logits()
+    assert all((a == b).all() for a, b in zip(whole[1:], tables([h for _, h in texts]), strict=True))
+    weights = np.array(model.weights).reshape(8, 2, 4)
+    slope = {"first": np.zeros((8, 2, 4)), "learned": np.zeros((8, 2, 4))}
+    for fold in range(lm_scoring.FOLDS):
+        logits = [whole[0], *tables([h for k, h in texts if k % lm_scoring.FOLDS != fold])]
+        for key, hashes in texts:
+            if key % lm_scoring.FOLDS != fold:
+                continue
+            classes = lm_scoring.class_of(hashes)
+            x = lm_scoring._inputs(logits, context_rows(hashes), classes)
+            gate = (x[2] != 0).astype(int)
+            for name, w in (("first", np.broadcast_to([0.8, 0.2, 0.2, 0], (8, 2, 4))), ("learned", weights)):
+                z = np.einsum("inb,nbi->nb", x, w[np.arange(8), gate])
+                error = (classes[:, None] >> (7 - np.arange(8)) & 1) - 1 / (1 + np.exp(-z))
+                for g in (0, 1):
+                    slope[name][:, g] += np.einsum("nb,inb->bi", error * (gate == g), x)
+    assert len(texts) > 100 and np.abs(slope["learned"]).sum() < 0.02 * np.abs(slope["first"]).sum()
+
+
 def test_class_bits_are_a_distribution():
     model = lm_scoring.MixingModel(4, np.random.default_rng(0).integers(-40, 40, 256 + 2 * 4 * 256).astype(np.int8).tobytes(),
                                    (0.5,) * (8 * 2 * 4), (0.0,) * 256)
