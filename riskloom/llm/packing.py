@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 
 from riskloom.llm._common import sliced, staged
 
-_INNER_SPACE = re.compile(r"\s").search
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
-_FIRST = "\x00"
+_FIRST = "\x00"  # before units that no space leads: the first of a text and, with their break, those of its lines
+_LINE_BREAK = re.compile(r"\n(?=\S)(?<=\S\n)").sub
+_TAIL = ",.;:!?#&*%"
 # Units kept by each worker in each of two generations; about 40 MB together.
 CACHE_UNITS = 100_000
 _UNITS_AT_ONCE = 400
@@ -28,7 +30,10 @@ class UnitEncoder:
 
     A byte-level BPE vocabulary never merges across a space between two other characters, so a text is
     cut there and each distinct unit is encoded once. Texts with white space next to a space are cut
-    only where that holds. Ids equal those of ``encode(text, add_special_tokens=False)``.
+    only where that holds. A tokenizer that cuts words by the usual byte-level pattern does not merge across a line break
+    between two other characters or between a letter and punctuation after it either: lines are cut as well,
+    and a unit that ends in punctuation has the ids of the unit without it and those of its end.
+    Ids equal those of ``encode(text, add_special_tokens=False)``.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,37 +45,72 @@ class UnitEncoder:
         size = self.tokenizer.get_vocab_size()
         self.wide = size > 1 << 16
         self.dtype = np.dtype("<u4") if self.wide else np.dtype("<u2")
-        starts = np.zeros(size, bool)
+        self.starts, self.breaks = np.zeros(size, bool), np.zeros(size, bool)
         for token, number in self.tokenizer.get_vocab().items():
-            starts[number] = token.startswith("Ġ")  # the byte-level sign of a space
-        self.starts = starts
+            self.starts[number] = token.startswith("Ġ")  # the byte-level sign of a space
+            self.breaks[number] = token == "Ċ"  # and of a line feed
+        made = json.loads(self.tokenizer.to_str())
+        cutting = made["pre_tokenizer"] or {}
+        self.usual = made["normalizer"] is None and cutting.get("type") == "ByteLevel" and cutting.get("use_regex", True)
+        self.tails: dict[str, bytes] = {}  # of up to three characters
         self.new: dict[str, bytes | None] = {"": None}
         self.old: dict[str, bytes | None] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _tail(self, tail: str) -> bytes:
+        if len(tail) > 3:
+            return self._whole(tail)
+        if tail not in self.tails:
+            self.tails[tail] = self._whole(tail)
+        return self.tails[tail]
+
     def _learn(self, units: Iterable[str]) -> None:
-        plain = []
+        new, old = self.new, self.old
+        plain, lines, ended = set(), [], []
         for unit in units:
-            if (ids := self.old.get(unit)) is not None:
-                self.new[unit] = ids
-            elif unit.startswith(_FIRST):
-                self.new[unit] = self._whole(unit[1:])
-            elif unit[0].isspace() or unit[-1].isspace():
-                self.new[unit] = None  # not a unit: its text is cut by the slower rule
-            elif _INNER_SPACE(unit):
-                self.new[unit] = self._whole(" " + unit)
+            if (ids := old.get(unit)) is not None:
+                new[unit] = ids
+            elif len((parts := unit.split())) != 1 or parts[0] != unit:
+                line = unit[:2] == "\x00\n" and parts[-1] == unit[2:]
+                if line and self.usual and len(parts) == 2:
+                    lines.append(unit)
+                elif unit[0] == _FIRST:
+                    new[unit] = self._whole(unit[1:])
+                elif unit[0].isspace() or unit[-1].isspace():
+                    new[unit] = None  # not a unit: its text is cut by the slower rule
+                else:
+                    new[unit] = self._whole(" " + unit)
+            elif unit[0] == _FIRST:
+                new[unit] = self._whole(unit[1:])
             else:
-                plain.append(unit)
-        groups = [plain[i : i + _UNITS_AT_ONCE] for i in range(0, len(plain), _UNITS_AT_ONCE)]
-        joined = [" " + " ".join(group) for group in groups]
+                core = unit.rstrip(_TAIL) if self.usual else unit
+                if len(core) == len(unit) or not (core[-1:].isalpha() and core[-1] < "\u0250"):
+                    plain.add(unit)
+                    continue
+                ended.append((unit, core))
+                if core not in new:
+                    if (ids := old.get(core)) is not None:
+                        new[core] = ids
+                    else:
+                        plain.add(core)
+        self._learn_joined(list(plain), " ", self.starts)
+        self._learn_joined(lines, _FIRST, self.breaks)
+        for unit, core in ended:
+            new[unit] = new[core] + self._tail(unit[len(core) :])
+
+    def _learn_joined(self, units: list[str], lead: str, starts: np.ndarray) -> None:
+        """Encode many units at a time; a unit's ids begin at a token of ``starts``. Lines hold their lead themselves."""
+        lines = lead == _FIRST
+        groups = [units[i : i + _UNITS_AT_ONCE] for i in range(0, len(units), _UNITS_AT_ONCE)]
+        joined = ["".join(group).replace(_FIRST, "") if lines else lead + lead.join(group) for group in groups]
         for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, self.dtype)
-            cuts = np.nonzero(self.starts[ids])[0].tolist()
+            cuts = np.nonzero(starts[ids])[0].tolist()
             if len(cuts) != len(group):
                 for unit in group:
-                    self.new[unit] = self._whole(" " + unit)
+                    self.new[unit] = self._whole(unit[1:] if lines else lead + unit)
                 continue
             data, width = ids.tobytes(), self.dtype.itemsize
             for unit, a, b in zip(group, cuts, [*cuts[1:], len(ids)], strict=True):
@@ -81,13 +121,19 @@ class UnitEncoder:
             self.old, self.new = self.new, {"": None}
         cut = []
         for text in texts:
-            units = (text or "").split(" ")
+            if _FIRST in (text := text or ""):  # the sign itself
+                cut.append([])
+                continue
+            units = (_LINE_BREAK(" \x00\n", text) if self.usual else text).split(" ")
             units[0] = _FIRST + units[0]
             cut.append(units)
         known = self.new
-        self._learn({u for units in cut for u in units if u not in known})
+        self._learn(set().union(*cut).difference(known))
         out = []
         for text, units in zip(texts, cut, strict=True):
+            if not units:
+                out.append(self._whole(text))
+                continue
             try:
                 out.append(b"".join(map(known.__getitem__, units)))
             except TypeError:

@@ -182,6 +182,27 @@ def test_cached_units_give_the_tokenizers_ids():
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [encode.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_lines_and_punctuation_are_cut_without_changing_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    single = []
+    whole = packing.UnitEncoder._whole
+    monkeypatch.setattr(packing.UnitEncoder, "_whole", lambda self, text: single.append(text) or whole(self, text))
+    rng = np.random.default_rng(3)
+    pieces = ["ab", "Né", "x1", "don't", "l'été", "中文", "\u0301", "9", ",", ".", "###", "!?", "'s", "\n", "\n", "\n", " ", " ", " ", "\t", "\r\n", "\u00a0", "\x1c", "\x85"]
+    texts = ["".join(pieces[i] for i in rng.integers(0, len(pieces), 12)) for _ in range(3000)]
+    texts += ["a \x00bc d", "\x00\nab cd", "ab\n\x00cd", "a \nb", "\nab\ncd", "ab,\ncd.", "<|endoftext|>,\nab"]
+    own, plain = packing.UnitEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    plain.encode_special_tokens = True
+    for some in (texts[:1500], texts[1500:]):
+        for text, ids in zip(some, own.encode(some), strict=True):
+            assert np.frombuffer(ids, own.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    # Words at the starts of lines are encoded in groups, words with punctuation after them as the word.
+    own, single[:] = packing.UnitEncoder(TOKENIZER), []
+    words = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(500)]
+    own.encode(["\n".join(f"w{w} v{w}," for w in words)])
+    assert len(single) < 5 and own.new["vab"] + own.tails[","] == own.new["vab,"]
+
 def test_the_tree_deals_the_blocks(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     mixes = [{r.doc_id: r for r in mixing.mix(docs, blocks=64, tree_seed=t).collect()} for t in (1, 1, 2)]
