@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,9 +21,16 @@ _CUT = re.compile(r"(?<=\S) (?=\S)").split
 _FIRST = "\x00"  # before units that no space leads: the first of a text and, with their break, those of its lines
 _LINE_BREAK = re.compile(r"\n(?=\S)(?<=\S\n)").sub
 _TAIL = ",.;:!?#&*%"
-# Units kept by each worker in each of two generations; about 40 MB together.
-CACHE_UNITS = 100_000
-_UNITS_AT_ONCE = 400
+# Units kept by each worker in each of two generations, besides those of one slice of texts; about 100 MB together.
+CACHE_UNITS = 200_000
+SLICE_BYTES = 4_000_000  # of texts that are cut at once
+_UNITS_AT_ONCE = 50
+_GROUPS_AT_ONCE = 20  # the tokenizer's results are large: few are held
+# Letters whose kind no version of Unicode changes; their bytes have these signs in a byte-level vocabulary.
+_OLD_LETTERS = "\u0240"
+_OTHERS = iter(range(256, 512))
+_SIGNS = np.array([b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else next(_OTHERS) for b in range(256)], "<u4")
+_SPACE = chr(_SIGNS[32])
 
 
 class UnitEncoder:
@@ -32,13 +40,14 @@ class UnitEncoder:
     cut there and each distinct unit is encoded once. Texts with white space next to a space are cut
     only where that holds. A tokenizer that cuts words by the usual byte-level pattern does not merge across a line break
     between two other characters or between a letter and punctuation after it either: lines are cut as well,
-    and a unit that ends in punctuation has the ids of the unit without it and those of its end.
+    and a unit that ends in punctuation has the ids of the unit without it and those of its end. A unit of letters is one
+    word of that pattern, so its bytes meet the merges without it.
     Ids equal those of ``encode(text, add_special_tokens=False)``.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -47,11 +56,15 @@ class UnitEncoder:
         self.dtype = np.dtype("<u4") if self.wide else np.dtype("<u2")
         self.starts, self.breaks = np.zeros(size, bool), np.zeros(size, bool)
         for token, number in self.tokenizer.get_vocab().items():
-            self.starts[number] = token.startswith("Ġ")  # the byte-level sign of a space
+            self.starts[number] = token.startswith(_SPACE)
             self.breaks[number] = token == "Ċ"  # and of a line feed
         made = json.loads(self.tokenizer.to_str())
         cutting = made["pre_tokenizer"] or {}
         self.usual = made["normalizer"] is None and cutting.get("type") == "ByteLevel" and cutting.get("use_regex", True)
+        self.letters = None
+        if self.usual and not cutting.get("add_prefix_space") and all(t["special"] for t in made["added_tokens"]):
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = pre_tokenizers.Split(_SPACE, "merged_with_next")
         self.tails: dict[str, bytes] = {}  # of up to three characters
         self.new: dict[str, bytes | None] = {"": None}
         self.old: dict[str, bytes | None] = {}
@@ -68,10 +81,23 @@ class UnitEncoder:
 
     def _learn(self, units: Iterable[str]) -> None:
         new, old = self.new, self.old
-        plain, lines, ended = set(), [], []
+        words, plain, lines, ended = set(), set(), [], []
+
+        def cut_off(unit: str, core: str) -> None:
+            ended.append((unit, core))
+            if core not in new:
+                if (ids := old.get(core)) is not None:
+                    new[core] = ids
+                else:
+                    (words if core.isalpha() else plain).add(core)
+
         for unit in units:
             if (ids := old.get(unit)) is not None:
                 new[unit] = ids
+            elif unit.isalpha():
+                words.add(unit)
+            elif self.usual and (core := unit.rstrip(_TAIL)).isalpha() and core[-1] < "\u0250":
+                cut_off(unit, core)
             elif len((parts := unit.split())) != 1 or parts[0] != unit:
                 line = unit[:2] == "\x00\n" and parts[-1] == unit[2:]
                 if line and self.usual and len(parts) == 2:
@@ -88,60 +114,75 @@ class UnitEncoder:
                 core = unit.rstrip(_TAIL) if self.usual else unit
                 if len(core) == len(unit) or not (core[-1:].isalpha() and core[-1] < "\u0250"):
                     plain.add(unit)
-                    continue
-                ended.append((unit, core))
-                if core not in new:
-                    if (ids := old.get(core)) is not None:
-                        new[core] = ids
-                    else:
-                        plain.add(core)
-        self._learn_joined(list(plain), " ", self.starts)
+                else:
+                    cut_off(unit, core)
+        if self.letters:
+            later = {word for word in words if not word.isascii() and max(word) >= _OLD_LETTERS}
+            self._learn_joined(list(words - later), _SPACE, self.starts)
+            words = later
+        self._learn_joined([*plain, *words], " ", self.starts)
         self._learn_joined(lines, _FIRST, self.breaks)
         for unit, core in ended:
             new[unit] = new[core] + self._tail(unit[len(core) :])
 
     def _learn_joined(self, units: list[str], lead: str, starts: np.ndarray) -> None:
         """Encode many units at a time; a unit's ids begin at a token of ``starts``. Lines hold their lead themselves."""
-        lines = lead == _FIRST
-        groups = [units[i : i + _UNITS_AT_ONCE] for i in range(0, len(units), _UNITS_AT_ONCE)]
-        joined = ["".join(group).replace(_FIRST, "") if lines else lead + lead.join(group) for group in groups]
-        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, self.dtype)
-            cuts = np.nonzero(starts[ids])[0].tolist()
-            if len(cuts) != len(group):
-                for unit in group:
-                    self.new[unit] = self._whole(unit[1:] if lines else lead + unit)
-                continue
-            data, width = ids.tobytes(), self.dtype.itemsize
-            for unit, a, b in zip(group, cuts, [*cuts[1:], len(ids)], strict=True):
-                self.new[unit] = data[a * width : b * width]
+        lines, letters = lead == _FIRST, lead == _SPACE
+        tokenizer = self.letters if letters else self.tokenizer
+        before = " " if letters else lead
+        for at in range(0, len(units), _UNITS_AT_ONCE * _GROUPS_AT_ONCE):
+            some = units[at : at + _UNITS_AT_ONCE * _GROUPS_AT_ONCE]
+            groups = [some[i : i + _UNITS_AT_ONCE] for i in range(0, len(some), _UNITS_AT_ONCE)]
+            joined = ["".join(group).replace(_FIRST, "") if lines else before + before.join(group) for group in groups]
+            if letters:
+                joined = [_SIGNS[np.frombuffer(x.encode(), np.uint8)].tobytes().decode("utf-32-le") for x in joined]
+            for group, encoded in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(encoded.ids, self.dtype)
+                cuts = np.nonzero(starts[ids])[0].tolist()
+                if len(cuts) != len(group):
+                    for unit in group:
+                        self.new[unit] = self._whole(unit[1:] if lines else before + unit)
+                    continue
+                data, width = ids.tobytes(), self.dtype.itemsize
+                for unit, a, b in zip(group, cuts, [*cuts[1:], len(ids)], strict=True):
+                    self.new[unit] = data[a * width : b * width]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.new) > CACHE_UNITS:
             self.old, self.new = self.new, {"": None}
-        cut = []
-        for text in texts:
-            if _FIRST in (text := text or ""):  # the sign itself
-                cut.append([])
-                continue
-            units = (_LINE_BREAK(" \x00\n", text) if self.usual else text).split(" ")
-            units[0] = _FIRST + units[0]
-            cut.append(units)
+        if not texts:
+            return []
         known = self.new
-        self._learn(set().union(*cut).difference(known))
+        # The sign itself: such texts are encoded whole.
+        whole = {i for i, text in enumerate(texts) if text and _FIRST in text}
+        marked = [_FIRST + (text if text and i not in whole else "") for i, text in enumerate(texts)]
+        if self.usual:
+            marked = [_LINE_BREAK(" \x00\n", text) for text in marked]
+        cut = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(known.get, units))
+        missing = [i for i, ids in enumerate(found) if ids is None and units[i] not in known]
+        self._learn([units[i] for i in missing])
+        for i in missing:
+            found[i] = known[units[i]]
+        ids = pc.take(pa.array(found, pa.large_binary()), coded.indices)
+        bounds = np.asarray(cut.offsets)
+        broken = np.diff(np.cumsum(np.append(0, ~np.asarray(ids.is_valid())))[bounds]) if ids.null_count else np.zeros(len(texts))
+        _, ends, data = ids.buffers()
+        at, data = np.frombuffer(ends, "<i8")[bounds].tolist(), memoryview(data or b"")
         out = []
-        for text, units in zip(texts, cut, strict=True):
-            if not units:
+        for i, (text, slow, a, b) in enumerate(zip(texts, broken.tolist(), at, at[1:], strict=False)):
+            if i in whole:
                 out.append(self._whole(text))
-                continue
-            try:
-                out.append(b"".join(map(known.__getitem__, units)))
-            except TypeError:
-                units = _CUT(text)
-                parts = [self._whole(units[0])]
-                for unit in units[1:]:
+            elif slow:
+                first, *later = _CUT(text)
+                parts = [self._whole(first)]
+                for unit in later:
                     parts.append(known.get(unit) or self._whole(" " + unit))
                 out.append(b"".join(parts))
+            else:
+                out.append(bytes(data[a:b]))
         return out
 
 
@@ -155,6 +196,18 @@ def encoder(path: str) -> UnitEncoder:
     return _encoders[path]
 
 
+def _sliced_by_size(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about SLICE_BYTES of texts, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(), dtype=np.int64)
+        a = 0
+        while a < batch.num_rows:
+            before = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def tokenized(docs: DataFrame, ident: str, text: str, source: str, tokenizer: str, end_id: int) -> DataFrame:
     """Rows (_id, _source, _part, _before, _n, _ids): ids as little-endian unsigned 32-bit or 16-bit numbers.
 
@@ -172,7 +225,7 @@ def tokenized(docs: DataFrame, ident: str, text: str, source: str, tokenizer: st
         end = np.array([end_id], own.dtype).tobytes()
         width = own.dtype.itemsize
         before: dict[str | None, int] = {}
-        for rows in sliced(batches, 500):
+        for rows in _sliced_by_size(batches):
             sources = rows.column("_source").to_pylist()
             ids = [x + end for x in own.encode(rows.column("_text").to_pylist())]
             sizes, starts = [len(x) // width for x in ids], []

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +204,28 @@ def test_lines_and_punctuation_are_cut_without_changing_ids(monkeypatch):
     own.encode(["\n".join(f"w{w} v{w}," for w in words)])
     assert len(single) < 5 and own.new["vab"] + own.tails[","] == own.new["vab,"]
 
+def test_words_of_letters_meet_the_merges_without_the_pattern(monkeypatch):
+    from tokenizers import Tokenizer
+
+    own, plain = packing.UnitEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    rng = np.random.default_rng(4)
+    letters = [chr(c) for c in range(0x260) if chr(c).isalpha()] + ["日", "\u0301", "ʰ", "я"]
+    words = ["".join(letters[i] for i in rng.integers(0, len(letters), 1 + n % 4)) for n in range(3000)]
+    texts = ["w " + " ".join(words[a : a + 30]) + ", w" for a in range(0, 3000, 30)]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, own.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert own.encode([]) == []
+    own._tail(",")
+    own.tokenizer = None
+    own._learn(["vvab", "Ñandúé,"])
+    for unit in ("vvab", "Ñandúé", "Ñandúé,"):
+        assert np.frombuffer(own.new[unit], own.dtype).tolist() == plain.encode(" " + unit, add_special_tokens=False).ids
+    # Texts are cut at once by their size, not by their number.
+    monkeypatch.setattr(packing, "SLICE_BYTES", 10)
+    rows = pa.RecordBatch.from_pydict({"_text": ["a" * 4, None, "b" * 6, "c", "d" * 30, None, "", "e"]})
+    assert [len(b.column(0)) for b in packing._sliced_by_size([rows.slice(0, 0), rows, rows.slice(3)])] == [3, 1, 1, 3, 1, 1, 3]
+
+
 def test_the_tree_deals_the_blocks(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     mixes = [{r.doc_id: r for r in mixing.mix(docs, blocks=64, tree_seed=t).collect()} for t in (1, 1, 2)]
