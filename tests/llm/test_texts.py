@@ -334,6 +334,24 @@ def test_lm_learns_from_every_training_text(spark, sf_dir):
     assert len(texts) > 100 and np.abs(slope["learned"]).sum() < 0.02 * np.abs(slope["first"]).sum()
 
 
+def test_words_are_hashed_together_with_the_same_hashes(monkeypatch):
+    rng = np.random.default_rng(5)
+    pieces = ["a", "B", "É", "日", "\x00", "\x1c", "\xa0", " ", "\t", "\n", "\x0b\x0c", "abcdefgh"]
+    texts = ["".join(pieces[i] for i in rng.integers(0, len(pieces), n % 90)) for n in range(900)]
+    texts += ["x" * n for n in range(70)] + [None, "", " ", "\ud800 a", "Q" * 32 + " " + "é" * 40]
+    plain = [lm_scoring.token_hashes(text) for text in texts]
+    for most in (1, 300, 1 << 20):
+        monkeypatch.setattr(lm_scoring, "HASHED_BYTES", most)
+        for one, other in zip(lm_scoring.hashes_of(texts), plain, strict=True):
+            assert one.dtype == other.dtype and one.tolist() == other.tolist()
+    assert list(lm_scoring.hashes_of([])) == []
+    single = []
+    digest = lm_scoring.xxhash.xxh64_intdigest
+    monkeypatch.setattr(lm_scoring.xxhash, "xxh64_intdigest", lambda word: single.append(word) or digest(word))
+    list(lm_scoring.hashes_of(["short words, " * 50 + "x" * 31, "y" * 32]))
+    assert single == [b"y" * 32]
+
+
 def test_class_bits_are_a_distribution():
     model = lm_scoring.MixingModel(4, np.random.default_rng(0).integers(-40, 40, 256 + 2 * 4 * 256).astype(np.int8).tobytes(),
                                    (0.5,) * (8 * 2 * 4), (0.0,) * 256)
