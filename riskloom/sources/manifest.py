@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.scalars import field
+from riskloom.functions.scalars import quoted
 from riskloom.session import exists, remove, shared_dir
 from riskloom.sources.tables import register_buckets, write_buckets
 
@@ -58,7 +58,7 @@ class Manifest:
             return self.spark.read.parquet(path)
         written = self.spark.read.parquet(path)
         buckets = self.spark.read.parquet(f"{path}.buckets").first()["buckets"]
-        return register_buckets(self.spark, path, written.schema, keys, buckets).select(*[field(c) for c in written.columns])
+        return register_buckets(self.spark, path, written.schema, keys, buckets).selectExpr(*map(quoted, written.columns))
 
     def finish(self) -> None:
         """Remove all stages; call it once what was built from them is written."""

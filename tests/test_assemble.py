@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import skew
-from riskloom.operators.joins import attach
+from riskloom.operators.joins import attach, attach_packed
 from riskloom.plans import assemble
 from riskloom.queries.credit_tables import credit_tables
 from riskloom.session import shared_dir
@@ -109,3 +109,39 @@ def test_fingerprints_follow_the_files(spark, tmp_path):
     second = fingerprint_of_files(spark, str(tmp_path))
     (tmp_path / "b.csv").write_text("z")
     assert len({first, second, fingerprint_of_files(spark, str(tmp_path))}) == 3
+
+
+def test_packed_tables_attach_like_flat_ones_and_join_arrays(spark):
+    spine = spark.createDataFrame([(1, 5, "a", 0.5), (1, 6, None, None), (None, 7, "b", 1.5), (3, None, "c", 2.5)], "k long, i int, s string, `d.x` double")
+    children = [
+        spark.createDataFrame([(1, 2**60 + 1, 1.25, True), (3, None, None, None), (None, 9, 9.0, False)], "k long, l long, v double, b boolean"),
+        spark.createDataFrame([(1, "p"), (1, "q")], "k long, t string"),
+    ]
+    ours, flat = attach_packed(spine, *children, on=["k"]), attach(spine, *children, on=["k"])
+    assert [(f.name, f.dataType) for f in ours.schema] == [(f.name, f.dataType) for f in flat.schema]
+    assert sorted(map(str, ours.collect())) == sorted(map(str, flat.collect()))
+    with pytest.raises(ValueError, match="duplicate"):
+        attach_packed(spine, children[0], children[0], on=["k"])
+    more = attach_packed(spine, *children, on=["k"], inputs=["i", "l"], derive=lambda df: df.selectExpr("*", "i + l AS total"))
+    assert more.columns == [*flat.columns, "total"]
+    assert {r["total"] for r in more.where("k = 1").collect()} == {2**60 + 6, 2**60 + 7}
+
+
+def test_the_wide_table_goes_through_the_joins_in_arrays(spark, sf_dir, no_broadcast):
+    wide = assemble.wide_table(credit_tables(spark, sf_dir), stage_children=True)
+    plan = wide._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert len(wide.columns) > 1000 and plan.output().size() < 60
+
+
+def test_plans_of_the_build_are_compiled_in_any_session(spark, sf_dir, monkeypatch):
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(name)
+    spark.conf.set(name, "65535")
+    try:
+        monkeypatch.setattr(assemble, "card_features", lambda df, make=assemble.card_features: seen.append(spark.conf.get(name)) or make(df))
+        assemble.wide_table(credit_tables(spark, sf_dir), stage_children=True)
+        assert seen == ["8000"] and spark.conf.get(name) == "65535"
+    finally:
+        spark.conf.set(name, before)
